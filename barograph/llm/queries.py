@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from barograph.llm import chat, mixing, packing, urls
+from barograph.llm import chat, mixing, packing, suffixes, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op3_url_filter": urls.op3,
     "op4_chat_windows": chat.op4,
     "op9_source_mixing": mixing.op9,
+    "op10_suffix_dedup": suffixes.op10,
 }
 ORACLE_SQL = {
     "op3_url_filter": urls.OP3_SQL,
