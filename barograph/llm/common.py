@@ -99,8 +99,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, 9, 10, 11, 12, 13]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 _U = np.uint64
 
 
@@ -152,7 +152,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~_WHITE[buf]
+    solid = ~WHITE[buf]
     begins = np.zeros(len(buf) + 1, bool)
     begins[offs] = True
     before = np.empty(len(buf), bool)

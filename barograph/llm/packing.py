@@ -8,9 +8,11 @@ Executors then rank every piece among those of its length and look its place up
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +26,59 @@ CAPACITY = 2048
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 0
 #: Entries of a worker's table from word to ids; beyond it the table starts anew. Bounds memory, never results.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+_ASCII_OTHER = ~_ASCII_LETTER
+_ASCII_OTHER[128:] = False
+_APOSTROPHE = 0x27
+#: Letters below this code point are plain in every Unicode version that the tokenizer may know.
+_LATIN_END = "\u0250"
+
+
+def token_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs between white space, cut once more between ASCII letters and other ASCII signs (not after an apostrophe).
+
+    No token of a tokenizer that matches letters, numbers, other signs and apostrophe endings apart crosses these cuts.
+    """
+    start, end, row = C.words(buf, offs)
+    if not len(start):
+        return start, end, row
+    letter, other = _ASCII_LETTER[buf], _ASCII_OTHER[buf] & ~C.WHITE[buf]
+    cut = np.zeros(len(buf), bool)
+    cut[1:] = (letter[:-1] & other[1:]) | (other[:-1] & letter[1:] & (buf[:-1] != _APOSTROPHE))
+    cut[start] = False
+    at = np.flatnonzero(cut)
+    at = at[at < end[np.searchsorted(start, at, "right") - 1]]
+    begins = np.sort(np.concatenate([start, at]), kind="stable")
+    ends = np.sort(np.concatenate([end, at]), kind="stable")
+    return begins, ends, row[np.searchsorted(start, begins, "right") - 1]
 
 
 class WordTokenizer:
-    """ids of whole texts, by tokenising each distinct run between ASCII white space once.
+    """ids of whole texts, by tokenising each distinct unit (see token_units) once.
 
-    Valid for tokenizers that never join characters across white space (those that drop it).
+    Valid for lower-casing tokenizers that drop white space, such as word_bpe_49k.json.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same model for words that are lower-case Latin letters already: each is one word of the model.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.letters.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -50,11 +88,7 @@ class WordTokenizer:
         self.pool = np.zeros(4096, np.int32)
         self.used = 0
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(got.ids, np.int32)
-        of = np.asarray(got.word_ids, np.int64)
-        counts = np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
+    def keep(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
         have = len(self.known)
         while have + len(keys) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
@@ -66,9 +100,30 @@ class WordTokenizer:
         self.used += len(ids)
         self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
 
+    def learn(self, keys: list[int], texts: list[str]) -> None:
+        plain_keys, plain, rest_keys, rest = [], [], [], []
+        for key, text in zip(keys, texts, strict=True):
+            if text.isascii():
+                lower = text.lower()
+            else:
+                lower = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+            if lower.isalpha() and max(lower) < _LATIN_END:
+                plain_keys.append(key)
+                plain.append(lower)
+            else:
+                rest_keys.append(key)
+                rest.append(text)
+        if plain:
+            ids = np.asarray(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
+            self.keep(plain_keys, ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+        if rest:
+            got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            of = np.asarray(got.word_ids, np.int64)
+            self.keep(rest_keys, np.asarray(got.ids, np.int32), np.bincount(of, minlength=len(rest)) if len(of) else np.zeros(len(rest), np.int64))
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and the number of ids of each row."""
-        start, end, row = C.words(buf, offs)
+        start, end, row = token_units(buf, offs)
         n = len(offs) - 1
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
@@ -77,21 +132,26 @@ class WordTokenizer:
         keys = distinct.tolist()
         if len(self.known) + len(keys) > max(WORD_CACHE, len(keys)):
             self.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        slots = list(map(self.known.get, keys))
+        new = [i for i, slot in enumerate(slots) if slot is None]
         if new:
             raw = buf.tobytes()
-            s, e = start[first].tolist(), end[first].tolist()
-            for lo in range(0, len(new), 20_000):
-                part = new[lo : lo + 20_000]
-                self.learn([keys[i] for i in part], [raw[s[i] : e[i]].decode("utf-8", "replace") for i in part])
-        known = self.known
-        slot = np.fromiter((known[k] for k in keys), np.int64, len(keys))[back]
+            s, e = start[first[new]].tolist(), end[first[new]].tolist()
+            self.learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            slots = list(map(self.known.get, keys))
+        slot = np.array(slots, np.int64)[back]
         counts = self.count[slot]
         ends = np.cumsum(counts)
-        ids = self.pool[np.repeat(self.start[slot] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.pool[np.repeat(self.start[slot] - ends + counts, counts) + np.arange(ends[-1])]
         return ids, np.bincount(row, weights=counts, minlength=n).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One a worker process, whatever number of tasks it runs."""
+    return WordTokenizer(path)
+
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,7 +164,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = tokenizer_of(tokenizer_path)
         for batch in batches:
             for rows, buf, offs in C.text_chunks(batch):
                 ids, counts = tok.encode(buf, offs)

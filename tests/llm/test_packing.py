@@ -16,7 +16,7 @@ def plain():
     return t
 
 
-TEXTS = ["", None, "Hello, World!  It's 12 o'clock\n\n\tÉté ß ñ \x1f\x85 a\u0301b", "x " * 5000, "dup", "dup", "a" * 3000, "\u3000wide\u2003space", "'s't 're", "<|endoftext|> ok", "İstanbul ΑΣ ΑΣ."]
+TEXTS = ["", None, "Hello, World!  It's 12 o'clock\n\n\tÉté ß ñ \x1f\x85 a\u0301b", "x " * 5000, "dup", "dup", "a" * 3000, "\u3000wide\u2003space", "'s't 're", "<|endoftext|> ok", "İstanbul ΑΣ ΑΣ.", "a's!s ''t 'll,x x'S l'été,été're a=\u0338b 3rd 3's [a]b… …! é!é \u01c5 J\u030cj \ua7c2 \U0001f600ok"]
 
 
 def docs(spark, texts=TEXTS):
