@@ -8,7 +8,6 @@ Executors then rank every piece among those of its length and look its place up
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +25,7 @@ CAPACITY = 2048
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 0
 #: Entries of a worker's table from word to ids; beyond it the table starts anew. Bounds memory, never results.
-WORD_CACHE = 200_000
+WORD_CACHE = 300_000
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -34,8 +33,18 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _ASCII_OTHER = ~_ASCII_LETTER
 _ASCII_OTHER[128:] = False
 _APOSTROPHE = 0x27
-#: Letters below this code point are plain in every Unicode version that the tokenizer may know.
-_LATIN_END = "\u0250"
+_PLAIN = _ASCII_LETTER.copy()
+_PLAIN[0x80:0xC0] = _PLAIN[0xC3:0xC6] = True
+
+
+def is_plain(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans hold nothing but letters of ASCII and of U+00C0 to U+017F that lower-case to one letter: these are in
+    normal form, and each is one word of the model."""
+    odd = ~_PLAIN[buf]
+    pair = (buf[:-1].astype(np.int32) << 8) | buf[1:]
+    odd[:-1] |= (pair == 0xC397) | (pair == 0xC3B7) | (pair == 0xC4B0)
+    count = np.concatenate([[0], np.cumsum(odd)])
+    return count[end] == count[start]
 
 
 def token_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,26 +109,21 @@ class WordTokenizer:
         self.used += len(ids)
         self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        plain_keys, plain, rest_keys, rest = [], [], [], []
-        for key, text in zip(keys, texts, strict=True):
-            if text.isascii():
-                lower = text.lower()
-            else:
-                lower = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-            if lower.isalpha() and max(lower) < _LATIN_END:
-                plain_keys.append(key)
-                plain.append(lower)
-            else:
-                rest_keys.append(key)
-                rest.append(text)
-        if plain:
-            ids = np.asarray(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
-            self.keep(plain_keys, ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
-        if rest:
+    def learn(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        plain = is_plain(buf, start, end)
+        if plain.any():
+            begin, size = start[plain], (end - start)[plain] + 1  # with the blank behind each
+            at = np.cumsum(size)
+            joined = buf[np.minimum(np.repeat(begin - at + size, size) + np.arange(at[-1]), len(buf) - 1)]
+            joined[at - 1] = 0x20
+            text = joined.tobytes().decode().lower()
+            ids = np.asarray(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            self.keep(keys[plain].tolist(), ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+        if not plain.all():
+            rest = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
             got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
             of = np.asarray(got.word_ids, np.int64)
-            self.keep(rest_keys, np.asarray(got.ids, np.int32), np.bincount(of, minlength=len(rest)) if len(of) else np.zeros(len(rest), np.int64))
+            self.keep(keys[~plain].tolist(), np.asarray(got.ids, np.int32), np.bincount(of, minlength=len(rest)) if len(of) else np.zeros(len(rest), np.int64))
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and the number of ids of each row."""
@@ -132,14 +136,12 @@ class WordTokenizer:
         keys = distinct.tolist()
         if len(self.known) + len(keys) > max(WORD_CACHE, len(keys)):
             self.clear()
-        slots = list(map(self.known.get, keys))
-        new = [i for i, slot in enumerate(slots) if slot is None]
-        if new:
-            raw = buf.tobytes()
-            s, e = start[first[new]].tolist(), end[first[new]].tolist()
-            self.learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            slots = list(map(self.known.get, keys))
-        slot = np.array(slots, np.int64)[back]
+        slots = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            self.learn(distinct[new], buf, start[first[new]], end[first[new]])
+            slots[new] = [self.known[k] for k in distinct[new].tolist()]
+        slot = slots[back]
         counts = self.count[slot]
         ends = np.cumsum(counts)
         ids = self.pool[np.repeat(self.start[slot] - ends + counts, counts) + np.arange(ends[-1])]
