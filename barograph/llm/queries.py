@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from barograph.llm import chat, mixing, packing, suffixes, urls
+from barograph.llm import chat, jaccard, language, mixing, packing, suffixes, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op2_ngram_jaccard_join": jaccard.op2,
     "op3_url_filter": urls.op3,
     "op4_chat_windows": chat.op4,
+    "op8_language_id": language.op8,
     "op9_source_mixing": mixing.op9,
     "op10_suffix_dedup": suffixes.op10,
 }
