@@ -31,9 +31,9 @@ K = 16
 #: Text whose cells a map task compares at once.
 BLOCK_BYTES = 32 << 20
 #: Distinct cells of an anchor that are compared in one group.
-GROUP = 4096
+GROUP = 16384
 #: One document in SCAN is looked at for frequent anchors: those in more than FREQUENT of them.
-SCAN, FREQUENT = 64, 0.001
+SCAN, FREQUENT = 64, 0.01
 _U = np.uint64
 
 
@@ -90,7 +90,8 @@ def block_cells(docs: DataFrame, frequent: np.ndarray, length: int, k: int) -> D
         repeat[1:] = (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1]) & (cell[1:] == cell[:-1])
         at = np.minimum(np.searchsorted(frequent, anchor), max(len(frequent) - 1, 0))
         hot = frequent[at] == anchor if len(frequent) else np.zeros(len(anchor), bool)
-        route = np.where(hot | repeat, key, anchor)
+        route = np.where(hot, key, anchor)
+        route[repeat] = C.mix(doc[repeat].astype(np.uint64) + start[repeat].astype(np.uint64))  # they only pass through
         for lo in range(0, len(key), 50_000):
             s = slice(lo, lo + 50_000)
             yield pa.RecordBatch.from_arrays([
@@ -255,7 +256,7 @@ TEXT_SCHEMA = "anchor long, _d long, start int, place short, bytes binary"
 
 def asked_bytes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """The bytes of the cells asked for. Those asked for by window come as cells of one window each, under the window's hash;
-    bytes null: the window has stood earlier in this task, so it is a repeat."""
+    bytes null: `place` windows from start on have stood earlier in this task, so they are repeats."""
     wanted = asked.groupBy("_d").agg(F.collect_list(F.struct("start", "windows", "place", "anchor", "kind")).alias("wanted"))  # bounded by the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,18 +278,24 @@ def asked_bytes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                         out.append((anchor, d, start, place, raw[start : start + windows + length - 1]))
                         size += 200
                         continue
+                    run = 0  # windows just before that have stood earlier in this task
                     for s in range(start, start + windows):
                         window = raw[s : s + length]
                         best = seen.get(window)
                         if best is not None and best < (d, s):
-                            out.append((0, d, s, 0, None))
+                            run += 1
                             continue
+                        if run:
+                            out.append((0, d, s - run, run, None))
+                            run = 0
                         if len(seen) >= 100_000:
                             seen.clear()
                         seen[window] = (d, s)
                         key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
                         out.append((key, d, s, 0, window))
                         size += 130
+                    if run:
+                        out.append((0, d, start + windows - run, run, None))
                 if size > 4_000_000 or len(out) > 50_000:
                     yield _text_batch(out)
                     out, size = [], 0
@@ -417,7 +424,7 @@ def settle_windows(texts: DataFrame, length: int) -> DataFrame:
             doc, start, place = (t.column(c).to_numpy() for c in ("_d", "start", "place"))
             null = t.column("bytes").is_null().to_numpy()
             if null.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[null]), pa.array(start[null]), pa.array(np.ones(null.sum(), np.int16))], ["_d", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[null]), pa.array(start[null]), pa.array(place[null])], ["_d", "start", "windows"])
             keep = np.flatnonzero(~null)
             if len(keep) < 2:
                 continue
