@@ -295,8 +295,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     before = totals.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy(*order)) - 1)
     ranked = ranked.join(before.select("length", "_group", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_group"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_group")
-    return place(ranked, plan)
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
+    return place(ranked.select(*pieces.columns, "_rank"), plan)
 
 
 def place(ranked: DataFrame, plan: Plan) -> DataFrame:
