@@ -3,8 +3,9 @@
 A document's shingles are dealt by hash to the segments of a sketch, and each segment is the exclusive or of its shingles' hashes
 (a wide bit segment in which every shingle flips bits). A shingle that two documents do not share touches one segment, so the
 number of segments that differ is at most the symmetric difference. Documents that link have a symmetric difference of at most
-(1 - t) / (1 + t) times the sum of their sizes; per band of sizes a sketch has more segments than that, so linked documents
-agree in some segments (pigeonhole). Segments are joined by equality, and candidates are verified on their whole shingle sets.
+(1 - t) / (1 + t) times the sum of their sizes; per band of sizes a sketch has twice as many segments as that, so linked documents
+agree in more than half (pigeonhole), and each need only send the half that is least likely to be shared by chance (see
+segment_keys). Segments are joined by equality, and candidates are verified on their whole shingle sets.
 
 Exact copies of a text are one node. In a segment that many documents share, all are compared with the first; only where that
 leaves several components are further pairs taken, less those that the triangle inequality over the known distances rules out.
@@ -25,6 +26,8 @@ from barograph.llm.identity import named, numbered
 
 #: Segments with up to this many documents compare all pairs at once.
 SMALL = 6
+#: One document in SCAN is looked at for frequent segments: those in more than FREQUENT of them.
+SCAN, FREQUENT = 16, 0.0005
 #: Pairs of one document that are verified in one unit.
 UNIT = 48
 _U = np.uint64
@@ -79,21 +82,20 @@ def shingles(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray,
     return row[fresh], hashes[fresh]
 
 
-def sketch_plan(rule: Rule, edges: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments of the sketch for pairs whose smaller set lies in `band`, and how many of them may be left empty.
-
-    One more segment than the largest symmetric difference must agree; `spare` more segments mean that at least
-    spare + 1 agree, so documents with up to `spare` empty segments need not send these.
-    """
+def largest_gap(rule: Rule, edges: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The largest symmetric difference of linked sets of which the smaller lies in `band`."""
     top = edges[band + 1] - 1
-    reach = rule.reach(top + top * rule.den // rule.num)
-    mean = (reach + 1) * 0.01
-    spare = np.where(reach < 3, 0, np.ceil(mean + 3 * np.sqrt(mean) + 1)).astype(np.int64)
-    return reach + 1 + spare, spare
+    return rule.reach(top + top * rule.den // rule.num)
 
 
-def segment_keys(rule: Rule, row: np.ndarray, hashes: np.ndarray, n: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the sketch segments of all rows, for every band in which the row may be the smaller or the larger set."""
+def segment_keys(rule: Rule, row: np.ndarray, hashes: np.ndarray, n: int, edges: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the sketch segments of all rows, for every band in which the row may be the smaller or the larger set.
+
+    A sketch has 2 * (gap + 1) segments, so linked sets agree in gap + 2 at least. Segments are put in an order that depends on
+    their content only, and a row sends just the first gap + 1: of the segments that two linked sets agree in, the first by
+    that order cannot be among the gap + 1 that either leaves out. Segments left out first are the empty ones, then those
+    found frequent, then those with few shingles. `frequent` (sorted keys, ranks) only steers; None: send all segments.
+    """
     size = np.bincount(row, minlength=n)
     own = np.searchsorted(edges, np.maximum(size, 1), "right") - 1
     lowest = np.searchsorted(edges, np.maximum(-(-size * rule.num // rule.den), 1), "right") - 1
@@ -103,33 +105,42 @@ def segment_keys(rule: Rule, row: np.ndarray, hashes: np.ndarray, n: int, edges:
         part = np.flatnonzero((size > 0) & (band >= lowest))
         if not len(part):
             continue
-        segments = np.zeros(n, np.int64)
-        segments[part], spare = sketch_plan(rule, edges, band[part])
+        send = np.zeros(n, np.int64)
+        send[part] = largest_gap(rule, edges, band[part]) + 1
+        segments = 2 * send
         base = np.cumsum(segments) - segments
         mine = segments[row] > 0
         r, h = row[mine], hashes[mine]
         salt = C.mix(h + _U(0x632BE59BD9B4E019))
         slot = base[r] + ((salt >> _U(11)) % segments[r].astype(np.uint64)).astype(np.int64)
         total = int(segments.sum())
-        value, filled = np.zeros(total, np.uint64), np.zeros(total, bool)
+        value = np.zeros(total, np.uint64)
         np.bitwise_xor.at(value, slot, h)
-        filled[slot] = True
+        count = np.bincount(slot, minlength=total)
         of = np.repeat(np.arange(n), segments)
         place = np.arange(total) - base[of]
-        empty = np.bincount(of[~filled], minlength=n)
-        allowed = np.zeros(n, np.int64)
-        allowed[part] = spare
-        send = filled | (empty > allowed)[of]
-        key = C.mix(value + C.mix((band[of].astype(np.uint64) << _U(32)) + place.astype(np.uint64) + filled))
-        out_row.append(of[send])
-        out_key.append(key[send])
+        key = C.mix(value + C.mix((band[of].astype(np.uint64) << _U(32)) + place.astype(np.uint64) + (count > 0)))
+        if frequent is not None:
+            keys, ranks = frequent
+            late = np.zeros(total, np.uint64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                late = np.where(keys[at] == key, ranks[at], 0).astype(np.uint64)
+            late[count == 0] = 255
+            rank = (late << _U(56)) | ((_U(255) - np.minimum(count, 255).astype(np.uint64)) << _U(48)) | (key >> _U(16))
+            order = np.lexsort((rank, of))
+            order = order[np.arange(total) - base[of] < send[of]]
+            of, key = of[order], key[order]
+        out_row.append(of)
+        out_key.append(key)
     if not out_row:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def sketch_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key, _d, n): a row for every sketch segment of every row (_d, text)."""
+def sketch_rows(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """(key, _d): a row for every sketch segment that every row (_d, text) sends."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = rule.bands(1 << 16)
@@ -140,13 +151,27 @@ def sketch_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 size = np.bincount(row, minlength=n)
                 if len(row) and size.max() >= edges[-1] // 2:
                     edges = rule.bands(4 * int(size.max()))
-                of, key = segment_keys(rule, row, hashes, n, edges)
+                of, key = segment_keys(rule, row, hashes, n, edges, shared.value)
                 doc = rows.column("_d").to_numpy()[of]
                 for lo in range(0, len(of), 50_000):
                     s = slice(lo, lo + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(doc[s]), pa.array(size[of[s]].astype(np.int32))], ["key", "_d", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(doc[s])], ["key", "_d"])
 
-    return docs.mapInArrow(run, "key long, _d long, n int")
+    return docs.mapInArrow(run, "key long, _d long")
+
+
+def frequent_segments(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Segments in more than FREQUENT of some documents (at most the segments of a document over FREQUENT), with ranks 1 to 254.
+
+    They only change the order in which segments are sent; which documents are looked at changes no result.
+    """
+    some = docs.where(F.pmod(F.xxhash64("_d"), F.lit(SCAN)) == 0)
+    least = max(3, FREQUENT * some.count())
+    found = sketch_rows(some, rule, None).groupBy("key").count().where(F.col("count") >= least).collect()
+    keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    ranks = np.minimum(np.log2(np.array([r["count"] for r in found], np.float64) + 1) * 8, 254)
+    return keys[order], ranks.astype(np.uint64)[order]
 
 
 def sizes(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -285,7 +310,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     first = copies.groupBy("h", "m").agg(F.min("_d").alias("first"), F.count("*").alias("copies"))
     others = C.stash(copies.join(first.where("copies > 1"), ["h", "m"]).where("_d <> first").select("first", "_d"), "copies")
     own = rows.join(others.select("_d"), "_d", "left_anti").where("text is not null")
-    edges = C.stash(bucket_pairs(sketch_rows(own, rule)), "pairs")
+    edges = C.stash(bucket_pairs(sketch_rows(own, rule, frequent_segments(own, rule))), "pairs")
     checked = C.stash(verify(rows, edges, rule), "checked")
     hit = F.expr(f"{rule.den} * shared >= {rule.num} * (na + nb - shared) and shared > 0")
     linked = checked.where(hit).select("a", "b")
