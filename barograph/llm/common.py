@@ -12,10 +12,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; a longer single text is still taken whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of long texts, unless the session has bounds of its own."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1500"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
+        try:
+            if usual is None or spark.conf.get(key, usual) == usual:
+                spark.conf.set(key, value)
+        except Exception as error:  # a Spark version without the setting
+            if "CANNOT_MODIFY_CONFIG" not in str(error):
+                raise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

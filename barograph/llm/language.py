@@ -160,15 +160,17 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
-    """All columns of docs, with lang_pred, score (the share of that language) and lang_set (name, share) added in their place.
+ADDED = ("lang_pred", "score", "lang_set")
+
+
+def identify(docs: DataFrame, names: list[str], model: np.ndarray, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """All columns of docs, and under the names `added` the language, its share, and the set of languages (name, share).
 
     Null text, text without letters, and any text where nothing was learned: `und`, score 0, empty set. An empty input gives
     an empty result. Columns that clash with the added ones are replaced.
     """
-    added = ("lang_pred", "score", "lang_set")
     docs = docs.drop(*added)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, lang_set array<struct<lang:string,share:double>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {added[0]} string, {added[1]} double, {added[2]} array<struct<lang:string,share:double>>"
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,10 +26,11 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of an identified language. The models are learned from the labelled documents of this very input; where
     there are none, only documents without letters go."""
+    C.small_batches(spark)
     names, model = language.learn(docs)
-    found = language.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), names, model)
-    sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE) if names else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.where(sure).select("_row.*")
+    found = language.identify(docs, names, model, ("_pred", "_share", "_set"))
+    sure = (F.col("_pred") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE) if names else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return _columns(found.where(sure), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
