@@ -7,8 +7,9 @@ number of segments that differ is at most the symmetric difference. Documents th
 agree in more than half (pigeonhole), and each need only send the half that is least likely to be shared by chance (see
 segment_keys). Segments are joined by equality, and candidates are verified on their whole shingle sets.
 
-Exact copies of a text are one node. In a segment that many documents share, all are compared with the first; only where that
-leaves several components are further pairs taken, less those that the triangle inequality over the known distances rules out.
+Exact copies of a text are one node. In a segment that many documents share, all are compared with the first; where that leaves
+several components, further pairs are taken. Before texts are fetched, pairs must pass their parity sketches: bit sketches whose
+Hamming distance is at most the symmetric difference.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from barograph.llm.identity import named, numbered
 
 #: Segments with up to this many documents compare all pairs at once.
 SMALL = 6
+#: Documents of a shared segment that others stream past, in a second look.
+CHUNK = 1024
 #: One document in SCAN is looked at for frequent segments: those in more than FREQUENT of them.
 SCAN, FREQUENT = 16, 0.0005
 #: Pairs of one document that are verified in one unit.
@@ -174,16 +177,61 @@ def frequent_segments(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarr
     return keys[order], ranks.astype(np.uint64)[order]
 
 
-def sizes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(_d, n_shingles) of rows (_d, text)."""
+def parity_bits(n: int) -> int:
+    """Bits of the parity sketch of a set of n: at least 2 n, so that it still tells close sets apart. A power of two."""
+    return 1 << max(9, min(20, (2 * n - 1).bit_length()))
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Bit h mod size flips for every hash h: the Hamming distance of two sketches is at most the sets' symmetric difference."""
+    size = parity_bits(len(hashes))
+    odd = np.bincount((hashes & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> bytes:
+    """The sketch of `size` bytes of the same set: positions modulo a smaller power of two."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half], "little") ^ int.from_bytes(sketch[half:], "little")).to_bytes(half, "little")
+    return sketch
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return (int.from_bytes(folded(a, size), "little") ^ int.from_bytes(folded(b, size), "little")).bit_count()
+
+
+def may_link(rule: Rule, na, nb, distance):
+    return (distance <= rule.reach(na + nb)) & (rule.den * np.minimum(na, nb) >= rule.num * np.maximum(na, nb))
+
+
+def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(_d, n, sketch) of rows (_d, text): the number of distinct shingles and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, offs in C.text_chunks(batch):
-                row, _ = shingles(buf, offs, rule.words)
-                yield pa.RecordBatch.from_arrays([rows.column("_d"), pa.array(np.bincount(row, minlength=rows.num_rows).astype(np.int64))], ["_d", "n_shingles"])
+                row, hashes = shingles(buf, offs, rule.words)
+                cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
+                sketches = [parity_sketch(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("_d"), pa.array(np.diff(cut)), pa.array(sketches, pa.binary())], ["_d", "n", "sketch"])
+
+    return docs.mapInArrow(run, "_d long, n long, sketch binary")
 
-    return docs.mapInArrow(run, "_d long, n_shingles long")
+
+def sketch_filter(pairs: DataFrame, profile: DataFrame, rule: Rule) -> DataFrame:
+    """The distinct pairs (a, b, members) that their sizes and parity sketches allow to link."""
+    side = lambda c: profile.select(F.col("_d").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    x = pairs.groupBy("a", "b").agg(F.max("members").alias("members")).join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.array([hamming(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            keep = may_link(rule, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), far)
+            yield batch.select(["a", "b", "members"]).filter(pa.array(keep))
+
+    return x.where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb")).select("a", "b", "members", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, members int")
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
@@ -280,23 +328,56 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("a", "_d", "partner", "text").mapInArrow(run, "a long, b long, na long, nb long, shared long")
 
 
-def second_pairs(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components inside segments whose documents did not all join the first one's component.
+def second_pairs(edges: DataFrame, labels: DataFrame, profile: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different components, within segments whose documents did not all join one component, whose sketches allow a link.
 
-    stars: (key, a, b, na, nb, shared) of the segments' pairs with their first document. Both distances to it are known, so
-    a pair whose distances differ by more than linked sets can is left out.
+    A segment's documents are dealt into chunks of about CHUNK; all of them stream past each chunk, so a segment spreads over
+    tasks, and only the pairs that pass are sent on.
     """
-    tags = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    x = stars.join(tags, "b", "left").withColumn("cb", F.coalesce("cb", "b"))
-    tags = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    x = x.join(tags, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-    open_keys = x.where("ca <> cb").select("key").distinct()
-    x = x.join(open_keys, "key", "left_semi").select("key", "b", F.col("nb").cast("long").alias("nb"), (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("far"), "ca", "cb")
-    # At least one of a pair is outside the first document's component; where segments are true, few are.
-    gap = F.abs(F.col("l.far") - F.col("r.far"))
-    close = ((rule.den + rule.num) * gap <= (rule.den - rule.num) * (F.col("l.nb") + F.col("r.nb"))) & (rule.den * F.least("l.nb", "r.nb") >= rule.num * F.greatest("l.nb", "r.nb"))
-    pairs = x.alias("l").join(x.where("ca <> cb").alias("r"), "key").where((F.col("l.cb") != F.col("r.cb")) & close)
-    return pairs.select(F.least("l.b", "r.b").alias("a"), F.greatest("l.b", "r.b").alias("b")).distinct().withColumn("members", F.lit(UNIT))
+    tags = labels.select(F.col("node").alias("_d"), "component")
+    wide = edges.where("members > 0")
+    x = wide.select("key", F.col("b").alias("_d")).unionByName(wide.select("key", F.col("a").alias("_d")).distinct())
+    x = x.join(tags, "_d", "left").withColumn("component", F.coalesce("component", "_d"))
+    open_keys = x.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / CHUNK).alias("_chunks")).where("_lo <> _hi").select("key", "_chunks")
+    x = x.join(open_keys, "key").join(profile, "_d")
+    x = x.withColumn("_copy", F.explode(F.sequence(F.lit(-1).cast("long"), F.col("_chunks") - 1)))  # -1: indexed in its own chunk
+    own = F.pmod(F.xxhash64("_d"), F.col("_chunks"))
+    x = x.select("key", F.when(F.col("_copy") < 0, own).otherwise(F.col("_copy")).alias("chunk"), (F.col("_copy") >= 0).alias("probe"), "_d", "component", "n", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "probe", "_d", "component", "n", "sketch")), strict=True))
+            out: list[tuple] = []
+            for key, chunk, probe, d, component, n, sketch in rows:
+                if (key, chunk) != group:
+                    group, held, index = (key, chunk), [], None
+                if not probe:
+                    held.append((d, component, n, sketch))
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    size = min(len(h[3]) for h in held)
+                    index = [np.array([h[i] for h in held], np.int64) for i in range(3)]
+                    bits = np.frombuffer(b"".join(folded(h[3], size) for h in held), np.uint64).reshape(len(held), -1)
+                    by_size = {size: bits}
+                at = min(size, len(sketch))
+                if at not in by_size:
+                    by_size[at] = np.frombuffer(b"".join(folded(h[3], at) for h in held), np.uint64).reshape(len(held), -1)
+                mine = np.frombuffer(folded(sketch, at), np.uint64)
+                far = np.bitwise_count(by_size[at] ^ mine).sum(axis=1, dtype=np.int64)
+                hit = may_link(rule, index[2], n, far) & (index[1] != component) & (index[0] < d)
+                out += [(a, d) for a in index[0][hit].tolist()]
+            if out:
+                a, b = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], ["a", "b"])
+
+    n = C.shuffle_partitions(edges.sparkSession)
+    pairs = x.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk", "probe").mapInArrow(run, "a long, b long")
+    return pairs.distinct().withColumn("members", F.lit(UNIT))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -310,19 +391,18 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     first = copies.groupBy("h", "m").agg(F.min("_d").alias("first"), F.count("*").alias("copies"))
     others = C.stash(copies.join(first.where("copies > 1"), ["h", "m"]).where("_d <> first").select("first", "_d"), "copies")
     own = rows.join(others.select("_d"), "_d", "left_anti").where("text is not null")
+    profile = C.stash(profiles(rows, rule), "profiles")
     edges = C.stash(bucket_pairs(sketch_rows(own, rule, frequent_segments(own, rule))), "pairs")
-    checked = C.stash(verify(rows, edges, rule), "checked")
     hit = F.expr(f"{rule.den} * shared >= {rule.num} * (na + nb - shared) and shared > 0")
-    linked = checked.where(hit).select("a", "b")
-    labels = components(linked)
-    stars = edges.where("members > 0").select("key", "a", "b").join(checked, ["a", "b"])
-    more = C.stash(second_pairs(stars, labels, rule), "more")
+    first_pairs = C.stash(sketch_filter(edges, profile, rule), "first")
+    labels = components(C.stash(verify(rows, first_pairs, rule), "checked").where(hit).select("a", "b"))
+    more = C.stash(second_pairs(edges, labels, profile, rule).join(first_pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        late = C.stash(verify(rows, more.join(checked, ["a", "b"], "left_anti"), rule).where(hit).select("a", "b"), "late")
+        late = C.stash(verify(rows, more, rule).where(hit).select("a", "b"), "late")
         if not late.isEmpty():
             merged = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(merged.unionByName(late))
-    out = sizes(rows, rule).join(others.select("_d", "first"), "_d", "left").withColumn("node", F.coalesce("first", "_d"))
+    out = profile.select("_d", F.col("n").alias("n_shingles")).join(others.select("_d", "first"), "_d", "left").withColumn("node", F.coalesce("first", "_d"))
     out = out.join(labels, "node", "left").select("_d", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("_d")).alias("component_id"))
     return named(out, names, ("component_id",))
 

@@ -60,6 +60,7 @@ def corpus(seed, n):
 def test_equals_brute_force(spark, monkeypatch, seed, n, small, words, num):
     monkeypatch.setattr(J, "SMALL", small)
     monkeypatch.setattr(J, "UNIT", 5)
+    monkeypatch.setattr(J, "CHUNK", 4)
     rule = J.Rule(words, num)
     rows = corpus(seed, n)
     random.Random(seed).shuffle(rows)
@@ -97,3 +98,16 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 300, 2000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)]))
+        far = J.hamming(J.parity_sketch(a), J.parity_sketch(b))
+        assert far <= len(np.setxor1d(a, b))
+        assert J.hamming(J.parity_sketch(a), J.parity_sketch(a)) == 0
+    assert J.hamming(J.folded(J.parity_sketch(a), 64), J.parity_sketch(a)) == 0
