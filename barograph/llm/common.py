@@ -83,30 +83,31 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         lo = hi
 
 
+def tidy(run):
+    """run, with the memory that its task has freed given back when it ends: idle workers stay small."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def array_of(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the number of values in each row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal `key` in batches sorted by it, each as one table. The caller bounds the groups."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and keys[lo] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = keys[lo]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 # --- hashing --------------------------------------------------------------------------------------------------------
 
 _BASE = 0xD6E8FEB86659FD93

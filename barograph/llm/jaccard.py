@@ -160,7 +160,7 @@ def sketch_rows(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
                     s = slice(lo, lo + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(doc[s])], ["key", "_d"])
 
-    return docs.mapInArrow(run, "key long, _d long")
+    return docs.mapInArrow(C.tidy(run), "key long, _d long")
 
 
 def frequent_segments(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
                 sketches = [parity_sketch(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("_d"), pa.array(np.diff(cut)), pa.array(sketches, pa.binary())], ["_d", "n", "sketch"])
 
-    return docs.mapInArrow(run, "_d long, n long, sketch binary")
+    return docs.mapInArrow(C.tidy(run), "_d long, n long, sketch binary")
 
 
 def sketch_filter(pairs: DataFrame, profile: DataFrame, rule: Rule) -> DataFrame:
@@ -231,7 +231,7 @@ def sketch_filter(pairs: DataFrame, profile: DataFrame, rule: Rule) -> DataFrame
             keep = may_link(rule, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), far)
             yield batch.select(["a", "b", "members"]).filter(pa.array(keep))
 
-    return x.where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb")).select("a", "b", "members", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, members int")
+    return x.where(rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb")).select("a", "b", "members", "na", "nb", "sa", "sb").mapInArrow(C.tidy(run), "a long, b long, members int")
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
         yield from close()
 
     n = C.shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "_d").mapInArrow(run, "a long, b long, key long, members int")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "_d").mapInArrow(C.tidy(run), "a long, b long, key long, members int")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -325,7 +325,7 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
                 values = np.array(out, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([pa.array(values[:, i]) for i in range(5)], ["a", "b", "na", "nb", "shared"])
 
-    return rows.select("a", "_d", "partner", "text").mapInArrow(run, "a long, b long, na long, nb long, shared long")
+    return rows.select("a", "_d", "partner", "text").mapInArrow(C.tidy(run), "a long, b long, na long, nb long, shared long")
 
 
 def second_pairs(edges: DataFrame, labels: DataFrame, profile: DataFrame, rule: Rule) -> DataFrame:
@@ -376,7 +376,7 @@ def second_pairs(edges: DataFrame, labels: DataFrame, profile: DataFrame, rule:
                 yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], ["a", "b"])
 
     n = C.shuffle_partitions(edges.sparkSession)
-    pairs = x.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk", "probe").mapInArrow(run, "a long, b long")
+    pairs = x.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk", "probe").mapInArrow(C.tidy(run), "a long, b long")
     return pairs.distinct().withColumn("members", F.lit(UNIT))
 
 

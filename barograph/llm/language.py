@@ -95,8 +95,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "slice", "counts"])
 
     schema = "lang string, slice int, counts binary"
-    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, schema)
-    found = rows.repartition(C.shuffle_partitions(docs.sparkSession), "lang", "slice").mapInArrow(add, schema).collect()  # languages x 2 BUCKETS numbers
+    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(C.tidy(count), schema)
+    found = rows.repartition(C.shuffle_partitions(docs.sparkSession), "lang", "slice").mapInArrow(C.tidy(add), schema).collect()  # languages x 2 BUCKETS numbers
     names = sorted({r["lang"] for r in found})
     counts = np.zeros((len(names), 2 * BUCKETS // SLICE, SLICE))
     for r in found:
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, added: tuple[
                 sets = [[(names[i], float(s[i])) for i in np.argsort(-s, kind="stable").tolist() if s[i] > 0] if b >= 0 else [] for b, s in zip(best.tolist(), shares, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(np.clip(score, 0.0, 1.0)), pa.array(sets, kind)], [*columns, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.tidy(run), schema)
 
 
 def fold_of(doc_id: Column) -> Column:

@@ -147,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
                 ], ["doc_id", "license", "dice", "licenses"])
 
     schema = "doc_id long, license string, dice double, licenses array<struct<license:string,dice:double,first_line:int,last_line:int>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(C.tidy(run), schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

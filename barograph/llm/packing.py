@@ -192,7 +192,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(C.tidy(run), schema)
 
 
 class CapacityTree:
@@ -322,7 +322,7 @@ def place(ranked: DataFrame, plan: Plan) -> DataFrame:
             offset = offsets[entry] + nth % each[entry] * length if len(entry) else rank
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(C.tidy(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from barograph.llm.identity import named, numbered
 LENGTH = 100
 K = 16
 #: Text whose cells a map task compares at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct cells of an anchor that are compared in one group.
 GROUP = 16384
 #: One document in SCAN is looked at for frequent anchors: those in more than FREQUENT of them.
@@ -112,7 +112,7 @@ def block_cells(docs: DataFrame, frequent: np.ndarray, length: int, k: int) -> D
         if held:
             yield from settle(held)
 
-    return docs.mapInArrow(run, CELL_SCHEMA)
+    return docs.mapInArrow(C.tidy(run), CELL_SCHEMA)
 
 
 def frequent_anchors(docs: DataFrame, length: int, k: int) -> np.ndarray:
@@ -130,11 +130,11 @@ def frequent_anchors(docs: DataFrame, length: int, k: int) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64("_d"), F.lit(SCAN)) == 0)
     n = some.count()
-    found = some.mapInArrow(run, "anchor long").groupBy("anchor").count().where(F.col("count") > max(8, FREQUENT * n))
+    found = some.mapInArrow(C.tidy(run), "anchor long").groupBy("anchor").count().where(F.col("count") > max(8, FREQUENT * n))
     return np.sort(np.array([r["anchor"] for r in found.select("anchor").collect()], np.int64).view(np.uint64))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 8_000) -> Iterator[pa.Table]:
     """Tables of about `rows` rows from batches sorted by `key` that never split a group. The caller bounds the groups."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -242,7 +242,7 @@ def settle_cells(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 yield emit(*group, np.where(is_hot, ASKED_BY_WINDOW, ASKED))
 
     n = C.shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "route").sortWithinPartitions("anchor", "cell", "_d", "start").mapInArrow(run, FOUND_SCHEMA)
+    return rows.repartition(n, "route").sortWithinPartitions("anchor", "cell", "_d", "start").mapInArrow(C.tidy(run), FOUND_SCHEMA)
 
 
 def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -302,7 +302,7 @@ def asked_bytes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _text_batch(out)
 
-    return docs.join(wanted, "_d").select("_d", "text", "wanted").mapInArrow(run, TEXT_SCHEMA)
+    return docs.join(wanted, "_d").select("_d", "text", "wanted").mapInArrow(C.tidy(run), TEXT_SCHEMA)
 
 
 def _text_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -442,7 +442,7 @@ def settle_windows(texts: DataFrame, length: int) -> DataFrame:
 
     n = C.shuffle_partitions(texts.sparkSession)
     key = F.when(F.col("bytes").isNull(), F.col("_d") * 31 + F.col("start")).otherwise(F.col("anchor"))
-    return texts.repartition(n, key).sortWithinPartitions("anchor").mapInArrow(run, "_d long, start int, windows short")
+    return texts.repartition(n, key).sortWithinPartitions("anchor").mapInArrow(C.tidy(run), "_d long, start int, windows short")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -495,7 +495,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("_d"), *(pa.array(v, t) for v, t in zip(values, kinds, strict=False))], columns)
 
-    return named(rows.join(spans, "_d", "left").select("_d", "text", "spans").mapInArrow(run, schema), names)
+    return named(rows.join(spans, "_d", "left").select("_d", "text", "spans").mapInArrow(C.tidy(run), schema), names)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

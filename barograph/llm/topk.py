@@ -98,7 +98,7 @@ def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
                 x = np.floor(scale * list_matrix(column, rows, width))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), pa.array(np.full(len(rows), width, np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "width", "vec"])
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(run, "vec_id long, width int, vec binary")
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(C.tidy(run), "vec_id long, width int, vec binary")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = SCALE) -> DataFrame:
@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = SCALE) -> Dat
 
     n = C.shuffle_partitions(spark)
     rows = index.unionByName(asked).repartition(n, "shard", "width").sortWithinPartitions("shard", "width", "side")
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(C.tidy(run), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -82,7 +82,7 @@ def term_hits(column: str, df: DataFrame, strict: tuple[str, ...], soft: tuple[s
             both = np.array(counts, np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], [*columns, "strict_hits", "soft_terms"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(C.tidy(run), schema)
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[str, ...] = SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> DataFrame:

@@ -69,7 +69,7 @@ def nodes(vectors: DataFrame) -> DataFrame:
 
     label = vectors.schema["label"].dataType.simpleString()
     rows = vectors.select(F.col("vec_id").cast("long"), "label", "embedding").where("label is not null and embedding is not null")
-    return rows.mapInArrow(run, f"vec_id long, label {label}, vec binary")
+    return rows.mapInArrow(C.tidy(run), f"vec_id long, label {label}, vec binary")
 
 
 def strips(reps: DataFrame, cosine: float) -> DataFrame:
@@ -98,7 +98,7 @@ def strips(reps: DataFrame, cosine: float) -> DataFrame:
                             pa.array(np.full(n, side, np.int8)), part.column("node"), part.column("weight"), part.column("vec"),
                         ], ["label", "width", "block", "strip", "side", "node", "weight", "vec"])
 
-    return reps.mapInArrow(run, f"label {label}, width int, block int, strip long, side byte, node long, weight long, vec binary")
+    return reps.mapInArrow(C.tidy(run), f"label {label}, width int, block int, strip long, side byte, node long, weight long, vec binary")
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def compare(rows: DataFrame, cosine: float) -> DataFrame:
         yield from close()
 
     n = C.shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "width", "block", "node", "weight", "vec").mapInArrow(run, "a long, b long, links long")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "width", "block", "node", "weight", "vec").mapInArrow(C.tidy(run), "a long, b long, links long")
 
 
 def block_near(p: np.ndarray, index: np.ndarray, columns: np.ndarray, budget: float) -> np.ndarray:
@@ -227,7 +227,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     done = done.join(least, "component").select("label", "vec", "n_links", "component_id")
     linked = flat.join(done, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    alone = rest.mapInArrow(_unlinkable, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rest.mapInArrow(C.tidy(_unlinkable), "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
