@@ -57,19 +57,54 @@ def macro_liquidity_history(observations: DataFrame, asof: list[str] | None = No
     return x.withColumns({"net_liquidity_slope_4w": change / 4, "liquidity_state": state})
 
 
-def macro_by_bar(bars: DataFrame, observations: DataFrame, close: str = "close_time") -> DataFrame:
-    """bars with the liquidity state known at each close, from as-of-safe observations only, and a status.
+def macro_states(observations: DataFrame) -> DataFrame:
+    """(known_at, macro_liquidity_state, macro_net_liquidity_4w_change) at every moment at which knowledge changes.
 
-    Histories are built once per moment at which knowledge changes (distinct available_at), not per bar.
+    One pass in order of availability over the few macro series, keeping the latest vintage of each observation.
     """
+    import bisect
+
+    import pandas as pd
+
+    factor = {name: spec[2] for name, spec in MACRO_SERIES.items()}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["available_at", "series", "observation_date"], kind="stable")
+        value: dict[tuple, float] = {}
+        weeks: list = []
+        out = []
+
+        def net(day):
+            parts = [value.get((s, day)) for s in ("fed_assets", "tga", "rrp")]
+            return None if None in parts else parts[0] - parts[1] - parts[2]
+
+        rows = list(zip(pdf["available_at"], pdf["series"], pdf["observation_date"], pdf["value"], strict=True))
+        for i, (known, series, day, v) in enumerate(rows):
+            if factor.get(series) is not None:
+                if series == "fed_assets" and (series, day) not in value:
+                    bisect.insort(weeks, day)
+                value[series, day] = v * factor[series]
+            if i + 1 < len(rows) and rows[i + 1][0] == known:
+                continue
+            if not weeks:
+                out.append((known, None, None))
+                continue
+            now, then = net(weeks[-1]), net(weeks[-5]) if len(weeks) > 4 else None
+            change = None if now is None or then is None else now - then
+            out.append((known, "unknown" if change is None else "expanding" if change > 0 else "contracting" if change < 0 else "neutral", change))
+        return pd.DataFrame(out, columns=["known_at", "macro_liquidity_state", "macro_net_liquidity_4w_change"])
+
+    schema = "known_at timestamp, macro_liquidity_state string, macro_net_liquidity_4w_change double"
+    used = observations.where(C("series").isin("fed_assets", "tga", "rrp")).select("available_at", "series", "observation_date", "value")
+    return used.groupBy(F.lit("macro").alias("_m")).applyInPandas(run, schema)
+
+
+def macro_by_bar(bars: DataFrame, observations: DataFrame, close: str = "close_time") -> DataFrame:
+    """bars with the liquidity state known at each close, from as-of-safe observations only, and a status."""
     safe = observations.where("asof_safe")
-    moments = safe.select(C("available_at").alias("known_at")).distinct()
-    seen = moments.join(safe, C("available_at") <= C("known_at"))  # vintages of a few series
-    history = macro_liquidity_history(seen, ["known_at"])
-    final = history.groupBy("known_at").agg(F.max_by(F.struct("liquidity_state", "net_liquidity_4w_change"), "observation_date").alias("h"))
-    final = moments.join(final, "known_at", "left").select("known_at", C("h.liquidity_state").alias("macro_liquidity_state"), C("h.net_liquidity_4w_change").alias("macro_net_liquidity_4w_change"))
     any_row, any_safe = not observations.isEmpty(), not safe.isEmpty()
-    x = asof_join(bars, final, close, "known_at", columns=["macro_liquidity_state", "macro_net_liquidity_4w_change"])
+    x = asof_join(bars, macro_states(safe), close, "known_at", columns=["macro_liquidity_state", "macro_net_liquidity_4w_change"])
+    x = x.withColumn("macro_net_liquidity_4w_change", F.nanvl("macro_net_liquidity_4w_change", F.lit(None).cast("double")))
     status = F.lit("missing") if not any_row else F.lit("excluded_not_asof_safe") if not any_safe else F.when(C("macro_liquidity_state").isNull(), "not_yet_available").otherwise("asof_safe")
     return x.withColumn("macro_status", status)
 

@@ -166,7 +166,7 @@ def levels_history(bars: DataFrame, swings: DataFrame, atr_tolerance: float = 0.
                 continue
             highs = np.add.reduceat(high[known].astype(int), cut)
             last = np.maximum.reduceat(confirmed[known], cut)
-            mean = np.add.reduceat(p, cut) / size
+            mean = np.round(np.add.reduceat(p, cut) / size, 9)  # so that a mean that equals a close is equal to it
             factor = np.minimum(np.add.reduceat(pivot_volume[known], cut) / size / base[i], 2) if base[i] > 0 else np.ones(len(cut))
             strength = np.log1p(size) / (1 + (index[i] - last) / 20) * factor
             kind = np.where(highs == size, "resistance", np.where(highs == 0, "support", "mixed"))

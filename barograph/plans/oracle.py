@@ -86,21 +86,21 @@ m as (select b.ticker, b.i, x.price as hp, x.i as hi, x.label as hl, x.prev_i as
 m2 as (select ticker, i, hp is not null as nh, lp is not null as nl, {_fill('hp')} as last_high, {_fill('lp')} as last_low, {_fill("case when hp is not null then coalesce(hpi, -1) end")} as ph, {_fill("case when lp is not null then coalesce(lpi, -1) end")} as pl,
   {_fill("case when hp is not null then coalesce(hl, '') end")} as hl, {_fill("case when lp is not null then coalesce(ll, '') end")} as ll from m),
 m3 as (select * replace (nullif(ph, -1) as ph, nullif(pl, -1) as pl, nullif(hl, '') as hl, nullif(ll, '') as ll) from m2),
-asof as (select *, {STATE.format(h='hl', l='ll')} as state from m3)
+states as (select *, {STATE.format(h='hl', l='ll')} as state from m3)
 """
 LEVELS = (
     SWINGS
     + f""",
 tr as (select *, greatest(abs(h - l), abs(h - {LAG('c')}), abs(l - {LAG('c')})) as tr from bars),
 lt as (select *, {full('avg(tr)', 'tr', 14)} as atr, quantile_cont(v, 0.5) over (partition by ticker order by i rows between unbounded preceding and current row) as base from tr),
-known as (select b.ticker, b.i as asof, s.price, s.type, s.ci, s.ts as st, s.conf, bv.v as pv, greatest(coalesce(b.atr, 0) * 0.5, b.c * 0.005) as tol, row_number() over (partition by b.ticker, b.i order by s.price, s.i, s.type) as n
+known as (select b.ticker, b.i as aidx, s.price, s.type, s.ci, s.ts as st, s.conf, bv.v as pv, greatest(coalesce(b.atr, 0) * 0.5, b.c * 0.005) as tol, row_number() over (partition by b.ticker, b.i order by s.price, s.i, s.type) as n
   from lt b join swings s on s.ticker = b.ticker and s.ci <= b.i join bars bv on bv.ticker = s.ticker and bv.i = s.i {{where}}),
-fold as (select ticker, asof, n, price as total, 1 as cnt, 0 as g from known where n = 1
-  union all select k.ticker, k.asof, k.n, case when k.price - f.total / f.cnt <= k.tol then f.total + k.price else k.price end, case when k.price - f.total / f.cnt <= k.tol then f.cnt + 1 else 1 end,
-    case when k.price - f.total / f.cnt <= k.tol then f.g else f.g + 1 end from fold f join known k on k.ticker = f.ticker and k.asof = f.asof and k.n = f.n + 1),
-lev0 as (select k.ticker, k.asof, f.g, avg(k.price) as price, count(*) as touches, case when count(distinct k.type) > 1 then 'mixed' when max(k.type) = 'swing_high' then 'resistance' else 'support' end as type, max(k.ci) as lc, avg(k.pv) as mv
-  from known k join fold f on f.ticker = k.ticker and f.asof = k.asof and f.n = k.n group by all having count(*) >= 2),
-levels as (select v.*, v.price / b.c - 1 as dist, round(ln(1 + touches) * (1 / (1 + (v.asof - lc) / 20)) * case when b.base > 0 then least(mv / b.base, 2) else 1 end, 4) as strength, b.c, b.atr from lev0 v join lt b on b.ticker = v.ticker and b.i = v.asof)
+fold as (select ticker, aidx, n, price as total, 1 as cnt, 0 as g from known where n = 1
+  union all select k.ticker, k.aidx, k.n, case when k.price - f.total / f.cnt <= k.tol then f.total + k.price else k.price end, case when k.price - f.total / f.cnt <= k.tol then f.cnt + 1 else 1 end,
+    case when k.price - f.total / f.cnt <= k.tol then f.g else f.g + 1 end from fold f join known k on k.ticker = f.ticker and k.aidx = f.aidx and k.n = f.n + 1),
+lev0 as (select k.ticker, k.aidx, f.g, round(avg(k.price), 9) as price, count(*) as touches, case when count(distinct k.type) > 1 then 'mixed' when max(k.type) = 'swing_high' then 'resistance' else 'support' end as type, max(k.ci) as lc, avg(k.pv) as mv
+  from known k join fold f on f.ticker = k.ticker and f.aidx = k.aidx and f.n = k.n group by all having count(*) >= 2),
+levels as (select v.*, v.price / b.c - 1 as dist, round(ln(1 + touches) * (1 / (1 + (v.aidx - lc) / 20)) * case when b.base > 0 then least(mv / b.base, 2) else 1 end, 4) as strength, b.c, b.atr from lev0 v join lt b on b.ticker = v.ticker and b.i = v.aidx)
 """
 )
 ALL_LEVELS = LEVELS.replace("{where}", "")
@@ -122,12 +122,12 @@ events as (
 
 
 FIXED = ATR + ", lt0 as (select * from atr)" + scan("select b.ticker, b.i, f.p::double as level, null::varchar as level_type, null::int as touches from bars b cross join (select unnest(range(5, 501, 5)) as p) f where b.ts > timestamp '1994-01-01'")
-EVENT = "ticker, i as bar_index, origin as origin_index, round(level, 4) as level, case when d = 1 then 'up' else 'down' end as direction, state, round(dist, 4) as distance_atr, outside::int as outside_bars, retest, fb::int as failure_bars, round(conf, 4) as confidence"
+EVENT = "ticker, i as bar_index, origin as origin_index, round(level, 9) as level, case when d = 1 then 'up' else 'down' end as direction, state, round(dist, 4) as distance_atr, outside::int as outside_bars, retest, fb::int as failure_bars, round(conf, 4) as confidence"
 GAPS = ATR + f""",
 g0 as (select *, {LAG('c')} as pc, {LAG('atr')} as pa from atr),
 g as (select ticker, i, o - pc as size, pc, abs(o - pc) as size_abs, abs(o - pc) / pc as size_pct, abs(o - pc) / case when pa > 0 then pa end as size_atr, case when o > pc then 'gap_up' else 'gap_down' end as type from g0 where abs(o - pc) / pc >= 0.002),
 fill as (select g.ticker, g.i, min(b.i) as fi from g join bars b on b.ticker = g.ticker and b.i >= g.i and ((g.size > 0 and b.l <= g.pc) or (g.size < 0 and b.h >= g.pc)) group by all),
-gaps as (select ticker, i as at, i as gap, type, size_abs, size_pct, size_atr, false as filled, null::int as wait, 'unfilled_gap' as state from g
+gaps as (select ticker, i as seen, i as gap, type, size_abs, size_pct, size_atr, false as filled, null::int as wait, 'unfilled_gap' as state from g
   union all select g.ticker, f.fi, g.i, type, size_abs, size_pct, size_atr, true, (f.fi - g.i)::int, 'gap_fill' from g join fill f on f.ticker = g.ticker and f.i = g.i)
 """
 NY = "timezone('America/New_York', timezone('UTC', {}))"
@@ -227,17 +227,17 @@ select session_date::varchar as day, n as members_available, {', '.join(f'case w
     "har": bars_query("ticker, i as bar_index, round(rv, 9) as har_daily, round(w5, 9) as har_weekly, round(m22, 9) as har_monthly", "har", HAR),
     "swings": bars_query("ticker, type, i as bar_index, ci as confirmation_index, price as price_level", "swings", SWINGS),
     "swing_labels": bars_query("ticker, type, i as bar_index, label as structure_label", "labels", SWINGS),
-    "structure_asof": bars_query(f"ticker, i as bar_index, state as structural_state, last_high, last_low, ph as prev_high_index, pl as prev_low_index, hl as last_high_label, ll as last_low_label, nh as new_swing_high, nl as new_swing_low, state <> {LAG('state', 10)} as structure_changed_recent", "asof", ASOF),
-    "levels_history": f"with recursive {ALL_LEVELS} select ticker, asof as asof_index, round(price, 4) as price_level, type, touches as touch_count, round(dist, 4) as distance_from_current_price, strength as strength_score from levels",
-    "levels_asof": f"with recursive {LEVELS.replace('{where}', 'where b.i = (select max(q.i) from bars q where q.ticker = b.ticker and q.ts <= ' + chr(39) + '1996-06-28 12:00:00' + chr(39) + '::timestamp)')} select ticker, asof as asof_index, round(price, 4) as price_level, type, touches as touch_count from levels",
-    "nearest_levels": f"""with recursive {ALL_LEVELS}, n as (select ticker, asof, max(price) filter (type in ('support', 'mixed') and price < c) as s, arg_max(touches, price) filter (type in ('support', 'mixed') and price < c) as sn, min(price) filter (type in ('resistance', 'mixed') and price > c) as r, arg_min(touches, price) filter (type in ('resistance', 'mixed') and price > c) as rn from levels group by all)
-select b.ticker, b.i as bar_index, round(s, 4) as nearest_support, round(r, 4) as nearest_resistance, sn as support_touches, rn as resistance_touches, round((b.c - s) / case when b.atr > 0 then b.atr end, 4) as support_dist_atr, round((r - b.c) / case when b.atr > 0 then b.atr end, 4) as resistance_dist_atr from lt b left join n on n.ticker = b.ticker and n.asof = b.i""",
-    "breakouts": f"with recursive {ALL_LEVELS}, lt0 as (select * from lt) {scan('select ticker, asof + 1 as i, price as level, type as level_type, touches from levels')} select {EVENT}, level_type, touches as level_touch_count, round(rv, 4) as relative_volume from events",
+    "structure_asof": bars_query(f"ticker, i as bar_index, state as structural_state, last_high, last_low, ph as prev_high_index, pl as prev_low_index, hl as last_high_label, ll as last_low_label, nh as new_swing_high, nl as new_swing_low, state <> {LAG('state', 10)} as structure_changed_recent", "states", ASOF),
+    "levels_history": f"with recursive {ALL_LEVELS} select ticker, aidx as asof_index, price as price_level, type, touches as touch_count, round(dist, 4) as distance_from_current_price, strength as strength_score from levels",
+    "levels_asof": f"with recursive {LEVELS.replace('{where}', 'where b.i = (select max(q.i) from bars q where q.ticker = b.ticker and q.ts <= ' + chr(39) + '1996-06-28 12:00:00' + chr(39) + '::timestamp)')} select ticker, aidx as asof_index, price as price_level, type, touches as touch_count from levels",
+    "nearest_levels": f"""with recursive {ALL_LEVELS}, n as (select ticker, aidx, max(price) filter (type in ('support', 'mixed') and price < c) as s, arg_max(touches, price) filter (type in ('support', 'mixed') and price < c) as sn, min(price) filter (type in ('resistance', 'mixed') and price > c) as r, arg_min(touches, price) filter (type in ('resistance', 'mixed') and price > c) as rn from levels group by all)
+select b.ticker, b.i as bar_index, round(s, 9) as nearest_support, round(r, 9) as nearest_resistance, sn as support_touches, rn as resistance_touches, round((b.c - s) / case when b.atr > 0 then b.atr end, 4) as support_dist_atr, round((r - b.c) / case when b.atr > 0 then b.atr end, 4) as resistance_dist_atr from lt b left join n on n.ticker = b.ticker and n.aidx = b.i""",
+    "breakouts": f"with recursive {ALL_LEVELS}, lt0 as (select * from lt) {scan('select ticker, aidx + 1 as i, price as level, type as level_type, touches from levels')} select {EVENT}, level_type, touches as level_touch_count, round(rv, 4) as relative_volume from events",
     "breakouts_fixed": f"with {FIXED} select {EVENT} from events",
     "breakout_recency": f"""with {FIXED}, e as (select ticker, i, arg_max({{'s': state, 'd': d, 'i': i}}, (origin, level)) filter (state not like 'fake%') as b, arg_max({{'s': state, 'd': d, 'i': i}}, (origin, level)) filter (state like 'fake%') as f from events group by all),
 j as (select b.ticker, b.i, last_value(e.b ignore nulls) over r as eb, last_value(e.f ignore nulls) over r as ef from bars b left join e using (ticker, i) window r as (partition by b.ticker order by b.i rows between 5 preceding and current row))
 select ticker, i as bar_index, coalesce(eb.s, 'inactive') as breakout_state, case when eb.d = 1 then 'up' when eb.d = -1 then 'down' end as breakout_direction, i - eb.i as breakout_age, coalesce(ef.s, 'inactive') as fake_breakout_state, i - ef.i as fake_breakout_age from j""",
-    "gaps": bars_query("ticker, at as bar_index, gap as gap_index, type, round(size_abs, 6) as size_abs, round(size_pct, 6) as size_pct, round(size_atr, 6) as size_atr, filled, wait as time_to_fill_bars, state", "gaps", GAPS),
+    "gaps": bars_query("ticker, seen as bar_index, gap as gap_index, type, round(size_abs, 6) as size_abs, round(size_pct, 6) as size_pct, round(size_atr, 6) as size_atr, filled, wait as time_to_fill_bars, state", "gaps", GAPS),
     "gap_filter": f"with {GAPS}, k as (select ticker, gap, type from gaps where state = 'unfilled_gap' and size_pct >= 0.005 and size_atr >= 0.5) select b.ticker, b.i as bar_index, exists (select 1 from k where k.ticker = b.ticker and type = 'gap_up' and gap between b.i - 2 and b.i) as gap_up_recent, exists (select 1 from k where k.ticker = b.ticker and type = 'gap_down' and gap between b.i - 2 and b.i) as gap_down_recent from bars b",
     "gap_counts": bars_query("ticker, count(*) as gaps_detected, count(*) filter (size_pct >= 0.005 and size_atr >= 0.5) as gaps_kept, count(*) - count(*) filter (size_pct >= 0.005 and size_atr >= 0.5) as gaps_discarded", "gaps", GAPS, "where state = 'unfilled_gap' group by ticker"),
     "check_bars": bars_query("ticker, count(*) as bars, count(*) filter (o is null or h is null or l is null or c is null or v is null) as null_rows, 0 as duplicate_timestamps, 0 as out_of_order, count(*) filter (h < greatest(o, c, l)) as high_too_low, count(*) filter (l > least(o, c, h)) as low_too_high, count(*) filter (v < 0) as negative_volume", tail="group by ticker"),
@@ -271,8 +271,8 @@ select ticker, i as bar_index, coalesce(eb.s, 'inactive') as breakout_state, cas
     "metrics": f"with {FORECASTS}, {VFC[len(RET):].lstrip(', ' + chr(10))} select asset, model, count(*) as n, round(avg(abs(f - a)), 7) as mae, round(sqrt(avg((f - a) * (f - a))), 7) as rmse, round(avg((sign(f) = sign(a))::int), 7) as extra from fc group by all union all select asset, model || ' vol', count(*), round(avg(abs(f - a)), 7), round(sqrt(avg((f - a) * (f - a))), 7), round(avg(ln(greatest(f * f, 1e-12)) + a * a / greatest(f * f, 1e-12)), 7) from vf where f > 0 and a >= 0 group by all",
     "cross_asset": f"with {FORECASTS}, g as (select asset, model, sqrt(avg((f - a) * (f - a))) as rmse from fc group by all) select model, round(avg(g.rmse), 9) as mean, round(quantile_cont(g.rmse, 0.5), 9) as median, round(stddev_samp(g.rmse), 9) as std, count(*) filter (g.rmse < z.rmse) as wins, count(*) as assets from g left join (select asset, rmse from g where model = 'zero') z using (asset) group by model",
     "parameter_variation": f"with {BARS}, x as (select ticker, i, {STD} as s, {full('regr_slope(c, i::double)', 'c', 20)} as p from bars), y as (select ticker, i // 250 as fold, avg(s) as std, avg(p) as slope from x where i >= 60 group by all), u as (select ticker, 'std' as parameter, std as value from y union all select ticker, 'slope', slope from y) select ticker, parameter, round(stddev_samp(value) / greatest(abs(avg(value)), 1e-8), 6) as cv from u group by all",
-    "garch_filter": f"with recursive {RET}, e as (select ticker, i, r * 100 - 0.01 as e from ret where r is not null), g as (select ticker, i, 0.05 + 0.08 * 1.0 + 0.9 * 1.0 as v, e from e where i = 1 union all select e.ticker, e.i, 0.05 + 0.08 * g.e * g.e + 0.9 * g.v, e.e from g join e on e.ticker = g.ticker and e.i = g.i + 1) select ticker, i as bar_index, round(sqrt(v), 6) as garch_vol_pct from g",
-    "permutation_entropy": f"with {RET}, p as (select ticker, i, {LAG('r', 2)} as a, {LAG('r')} as b, r as c from ret), o as (select ticker, i, case when a is null then null when a <= b and b <= c then 0 when a <= c and c < b then 1 when b < a and a <= c then 2 when c < a and a <= b then 3 when b <= c and c < a then 4 else 5 end as k from p), n as (select x.ticker, x.i, y.k, count(*) as n from o x join o y on y.ticker = x.ticker and y.i between x.i - 97 and x.i and y.k is not null where x.i >= 100 group by all), h as (select ticker, i, -sum(n / 98 * ln(n / 98)) / ln(6) as h from n group by all) select b.ticker, b.i as bar_index, round(h, 6) as permutation_entropy from bars b left join h on h.ticker = b.ticker and h.i = b.i",
+    "garch_filter": f"with recursive {RET}, e as (select ticker, i, r * 100 - 0.01 as e from ret where r is not null), g as (select ticker, i, (0.05 + 0.08 * 1.0 + 0.9 * 1.0)::double as v, e from e where i = 1 union all select e.ticker, e.i, 0.05 + 0.08 * g.e * g.e + 0.9 * g.v, e.e from g join e on e.ticker = g.ticker and e.i = g.i + 1) select ticker, i as bar_index, round(sqrt(v), 6) as garch_vol_pct from g",
+    "permutation_entropy": f"with {RET}, p as (select ticker, i, {LAG('r', 2)} as a, {LAG('r')} as b, r as c from ret), o as (select ticker, i, case when a is null then null when a <= b and b <= c then 0 when a <= c and c < b then 1 when b < a and a <= c then 2 when c < a and a <= b then 3 when b <= c and c < a then 4 else 5 end as k from p), n as (select x.ticker, x.i, y.k, count(*) as n from o x join o y on y.ticker = x.ticker and y.i between x.i - 97 and x.i and y.k is not null where x.i >= 100 group by all), e as (select ticker, i, -sum(n / 98 * ln(n / 98)) / ln(6) as pe from n group by all) select b.ticker, b.i as bar_index, round(pe, 6) as permutation_entropy from bars b left join e on e.ticker = b.ticker and e.i = b.i",
     "state_statistics": f"with {HAR}, x as (select ticker, case when rv > 0.02 then 1 else 0 end as state, r, rv, {full('regr_slope(c, i::double)', 'c', 20)} as sl from har), y as (select * from x where rv is not null), g as (select ticker, state, avg(r) as m, avg(rv) as v, avg(sl) as s, count(*) as n from y group by all), t as (select *, greatest(stddev_pop(m) over (partition by ticker) * 0.25, 1e-5) as tol, row_number() over (partition by ticker order by v, state) as rk, count(*) over (partition by ticker) as k from g) select ticker, state, round(m, 6) as mean_return, round(v, 6) as volatility, round(s, 6) as mean_slope, round(1 / (1 - 0.9::double), 6) as avg_duration, n as observations, case when m > tol then 'positive' when m < -tol then 'negative' else 'neutral' end as trend_description, case when rk = 1 then 'low' when rk = k then 'high' else 'middle' end as volatility_description from t",
     "regime_changes": f"with {HAR}, x as (select ticker, i, case when rv > 0.02 then 1 else 0 end as state from har where rv is not null), y as (select *, {LAG('state')} as p from x) select ticker, i as bar_index, state from y where p is not null and p <> state",
     "prefix_check": f"with {BARS} select ticker, i as bar_index, '' as structural_state, 0.0::double as last_high, 0.0::double as last_low, '' as side from bars where false",

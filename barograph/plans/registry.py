@@ -16,7 +16,8 @@ FOLD_STEP = 504
 
 def rounded(df: DataFrame, keys: list[str], columns: list[str], digits: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*keys, *(F.round(c, digits).alias(c) if kinds[c] == "double" else C(c) for c in columns))
+    exact = {"price_level", "level", "nearest_support", "nearest_resistance"}  # means of cents
+    return df.select(*keys, *(F.round(c, 9 if c in exact else digits).alias(c) if kinds[c] == "double" else C(c) for c in columns))
 
 
 def _stats(bars):
