@@ -305,7 +305,7 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     partners = edges.select("unit", "a", F.col("b").alias("_d"), F.lit(True).alias("partner"))
     members = partners.unionByName(edges.select("unit", "a", F.col("a").alias("_d"), F.lit(False).alias("partner")).distinct())
     n = C.shuffle_partitions(docs.sparkSession)
-    rows = members.join(docs.select("_d", "text"), "_d").repartition(n, "unit").sortWithinPartitions("unit", "a", "partner")
+    rows = members.join(docs.select("_d", "text").hint("merge"), "_d").repartition(n, "unit").sortWithinPartitions("unit", "a", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(0, np.uint64)
@@ -390,7 +390,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     copies = rows.select("_d", F.xxhash64("text").alias("h"), F.md5(F.encode("text", "UTF-8")).alias("m")).where("text is not null")
     first = copies.groupBy("h", "m").agg(F.min("_d").alias("first"), F.count("*").alias("copies"))
     others = C.stash(copies.join(first.where("copies > 1"), ["h", "m"]).where("_d <> first").select("first", "_d"), "copies")
-    own = rows.join(others.select("_d"), "_d", "left_anti").where("text is not null")
+    own = rows.join(others.select("_d").hint("merge"), "_d", "left_anti").where("text is not null")
     profile = C.stash(profiles(rows, rule), "profiles")
     edges = C.stash(bucket_pairs(sketch_rows(own, rule, frequent_segments(own, rule))), "pairs")
     hit = F.expr(f"{rule.den} * shared >= {rule.num} * (na + nb - shared) and shared > 0")

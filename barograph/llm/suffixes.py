@@ -302,7 +302,7 @@ def asked_bytes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _text_batch(out)
 
-    return docs.join(wanted, "_d").select("_d", "text", "wanted").mapInArrow(C.tidy(run), TEXT_SCHEMA)
+    return docs.join(wanted.hint("merge"), "_d").select("_d", "text", "wanted").mapInArrow(C.tidy(run), TEXT_SCHEMA)
 
 
 def _text_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -462,8 +462,10 @@ def removed_bytes(n: int, start: np.ndarray, windows: np.ndarray, length: int) -
     return np.cumsum(edges[:-1]) > 0
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) for every row of docs.
+def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text][, row]) for every row of docs.
+
+    `row` is a struct of the columns `carry`, which travel with the text instead of being joined again.
 
     Each byte covered by a `length`-byte string that also starts earlier (smaller doc_id, or earlier in the document) goes; the
     strings are those of the input. Null text counts as empty. Rows equal in doc_id and text count as one document. `text`
@@ -472,8 +474,18 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
     """
     rows, names = numbered(docs)
     spans = repeated_windows(rows, length, k).groupBy("_d").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # bounded by the document
-    columns = ["_d", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text
+    columns = ["_d", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text + ["row"] * bool(carry)
     schema = "_d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    whole = rows
+    if carry:
+        row = F.struct(*carry).alias("row")
+        schema += f", row {docs.select(row).schema['row'].dataType.simpleString()}"
+        if names is None:
+            whole = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text"), row)
+        else:  # rows that are equal in doc_id and text share the first one's columns
+            own = docs.select(F.col("doc_id").cast("long").alias("_i"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_m"), row).groupBy("_i", "_m").agg(F.first("row").alias("row"))
+            known = rows.join(names.select("_d", F.col("doc_id").alias("_n")), "_d").withColumn("_t", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+            whole = known.join(own, F.col("_n").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_m")), "left").select("_d", "text", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -493,9 +505,11 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_text:
                     out.append((n, removed, runs, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] * keep_text)))
                 values = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column("_d"), *(pa.array(v, t) for v, t in zip(values, kinds, strict=False))], columns)
+                extra = [part.column("row")] if carry else []
+                yield pa.RecordBatch.from_arrays([part.column("_d"), *(pa.array(v, t) for v, t in zip(values, kinds, strict=False)), *extra], columns)
 
-    return named(rows.join(spans, "_d", "left").select("_d", "text", "spans").mapInArrow(C.tidy(run), schema), names)
+    joined = whole.join(spans.hint("merge"), "_d", "left")
+    return named(joined.select("_d", "text", "spans", *["row"] * bool(carry)).mapInArrow(C.tidy(run), schema), names)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

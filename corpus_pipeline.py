@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = kept.where("_n > 1 or doc_id is null")
     on = docs["doc_id"].eqNullSafe(kept["doc_id"])
     if repeated.isEmpty():
-        return _columns(docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi"), docs)
+        return _columns(docs.join(kept.where("doc_id is not null").hint("merge"), "doc_id", "left_semi"), docs)
     x = docs.join(kept.select("doc_id"), on, "left_semi").withColumn("_h", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     one = x.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("_h", F.coalesce("source", F.lit("")))).alias("_row"))
     return one.select("_row.*")
@@ -48,16 +48,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 100 bytes and more that stand earlier too out of the texts; documents with no word left go."""
-    # The stage before leaves one row per doc_id; a null one is numbered like any other by the operator.
-    left = suffixes.strip_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    x = docs.join(left, docs["doc_id"].eqNullSafe(left["_id"])).where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return _columns(x.drop("text", "n_chars", "_id").withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")), docs)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = suffixes.strip_repeats(docs, carry=others).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _columns(left.select("doc_id", "text", "row.*", F.length("text").cast("long").alias("n_chars")), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them: rows repeat for repeated epochs."""
     taken = mixing.mix_documents(docs, whole=True).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    x = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    x = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return _columns(x, docs)
 
 
