@@ -11,6 +11,7 @@ from barograph.operators import scores
 from barograph.operators.windows import KEYS, lag, series
 from barograph.plans import evidence as V
 from barograph.plans import patterns as P
+from barograph.sources.scratch import stash
 
 C = F.col
 
@@ -58,7 +59,9 @@ def run_pattern_engine(bars: DataFrame, timeframe: str, benchmark: DataFrame | N
     for other, rows in (context or {}).items():
         if other != timeframe:
             frame = V.attach_timeframe(frame, V.build_evidence(rows, other, light=True)[0], other, timeframe)
-    return PatternRun(frame, events, P.track(P.observe(frame, events, swings, families)))
+    frame = stash(frame, "frame")
+    observed = stash(P.observe(frame, events, swings, families), "scored")
+    return PatternRun(frame, events, stash(P.track(observed), "results"))
 
 
 ALLOWED = {

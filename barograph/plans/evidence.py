@@ -11,6 +11,7 @@ from barograph.operators import structure as S
 from barograph.operators.joins import asof_join
 from barograph.operators.resample import close_times, complete_bars
 from barograph.operators.windows import KEYS, lag, series
+from barograph.sources.scratch import stash
 
 C = F.col
 PREFIX = {"1Week": "w1", "1Day": "d1", "4Hour": "h4", "1Hour": "h1"}
@@ -32,22 +33,25 @@ def build_evidence(bars: DataFrame, timeframe: str, benchmark: DataFrame | None
     """(frame, breakout events or None, swings) of bars with ticker, timeframe, timestamp, bar_index and prices.
 
     light leaves levels, breakouts, gaps and strength out, for context timeframes. `external` is a function that adds the
-    external columns to bars with close_time; without it they are null. All windows share one partitioning.
+    external columns to bars with close_time; without it they are null. All windows share one partitioning. Each layer is
+    written once: several read it, and a single plan of all layers takes longer to optimise than to run.
     """
-    bars = close_times(complete_bars(bars), timeframe)
+    bars = stash(close_times(complete_bars(bars), timeframe), "bars")
     x = X.recent_flags(X.compression_features(X.acceleration_features(X.rv_percentile(X.statistical_features(X.with_atr(bars))))))
     x = x.withColumn("slope_20_pct", C("rolling_slope_20") / C("close"))
     swings = S.confirmed_swings(bars)
-    x = S.structure_asof(x, swings)
+    swings = stash(swings, "swings")
+    x = S.structure_asof(stash(x, "features"), swings)
     if light:
         return x.withColumn("breakout_state", F.lit("inactive")), None, swings
-    history = S.levels_history(bars, swings)
-    events = S.detect_breakouts(bars, history)
+    history = stash(S.levels_history(bars, swings), "levels")
+    events = stash(S.detect_breakouts(bars, history), "events")
     x = S.breakout_recency(S.nearest_levels(x, history), events)
     if timeframe == "1Day":
         x = S.filtered_gaps(x, S.detect_gaps(bars))
     else:
         x = x.withColumns({c: F.lit(None).cast("boolean") for c in ("gap_up_recent", "gap_down_recent")})
+    x = stash(x, "structure")
     if benchmark is not None:
         x = X.relative_strength(x, complete_bars(benchmark))
     else:
@@ -57,7 +61,7 @@ def build_evidence(bars: DataFrame, timeframe: str, benchmark: DataFrame | None
     else:
         x = x.withColumns({c: F.lit(None).cast(t) for c, t in quant_types().items()})
     if external is not None:
-        x = external(x)
+        x = external(stash(x, "evidence"))
     else:
         nulls = {"vix": "double", "vix_zscore": "double", "vix_change_5d": "double", "breadth_sma50": "double", "breadth_sma50_change5": "double", "macro_liquidity_state": "string", "news_sentiment_7d": "double", "news_count_7d": "long"}
         x = x.withColumns({c: F.lit(None).cast(t) for c, t in nulls.items()} | {"macro_status": F.lit("missing"), "news_quality": F.lit("missing")})
@@ -86,7 +90,7 @@ def pivots_by_bar(frame: DataFrame, swings: DataFrame) -> DataFrame:
     """frame with the last confirmed pivot pair of each side: indicator values at both pivots and the neckline between them."""
     w = Window.partitionBy(*KEYS, "type").orderBy("confirmation_index", "bar_index")
     names = [column for column, _ in INDICATORS.values()]
-    at = frame.select(*KEYS, "bar_index", F.struct(*(C(c).cast("double") for c in names)).alias("_v"), C("high").alias("_h"), C("low").alias("_l"))
+    at = frame.select(*KEYS, "bar_index", F.struct(*(C(c).cast("double").alias(c) for c in names)).alias("_v"), C("high").alias("_h"), C("low").alias("_l"))
     s = swings.select(*KEYS, "type", "bar_index", "confirmation_index", "price_level").join(at.drop("_h", "_l"), [*KEYS, "bar_index"])
     s = s.withColumns({"_old": lag("_v", 1, w), "_old_index": lag("bar_index", 1, w)})
     span = s.where("_old_index is not null").withColumn("_i", F.explode(F.sequence(F.least("_old_index", "bar_index"), F.greatest("_old_index", "bar_index"))))

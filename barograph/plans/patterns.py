@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barograph.functions.scalars import any_true
-from barograph.operators.windows import KEYS, lag
+from barograph.operators.windows import KEYS, lag, last
 from barograph.plans.evidence import INDICATORS, events_by_bar, pivots_by_bar
+from barograph.sources.scratch import stash
 from barograph.plans.machine import HOOKS, MACHINES, STATES, run_machine
 
 C = F.col
@@ -283,9 +284,7 @@ def pattern_score(scores: dict[str, Column]) -> Column:
 def observe(frame: DataFrame, events: DataFrame, swings: DataFrame, families: dict = FAMILIES) -> DataFrame:
     """frame x patterns: scores, evidence lists and machine inputs of every detector and direction, from one pass over the frame."""
     x = pivots_by_bar(events_by_bar(frame, events), swings)
-    from barograph.operators.windows import last
-
-    x = x.withColumns({"_slope_3": lag("rolling_slope_20", 3), "_rv_5": lag("realized_volatility_20", 5), "_high_5": F.max("high").over(last(5)), "_low_5": F.min("low").over(last(5))})
+    x = stash(x.withColumns({"_slope_3": lag("rolling_slope_20", 3), "_rv_5": lag("realized_volatility_20", 5), "_high_5": F.max("high").over(last(5)), "_low_5": F.min("low").over(last(5))}), "observed")
     rows = []
     for family, (make, directions) in families.items():
         for direction in directions:

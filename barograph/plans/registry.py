@@ -426,11 +426,18 @@ def q_quant_context(s, d):
     return models.quant_context(walk_bars(s, d)).drop("timeframe")
 
 
+_runs: dict[tuple, engine.PatternRun] = {}
+
+
 def run_engine(s, d, quant: bool = False) -> engine.PatternRun:
-    b = walk_bars(s, d)
-    week = resample.complete_bars(_weekly(s, d))
-    week = week.withColumn("bar_index", F.row_number().over(joins.Window.partitionBy("ticker", "timeframe").orderBy("timestamp")) - 1)
-    return engine.run_pattern_engine(b, "1Day", fixtures.benchmark(b), {"1Week": week}, models.quant_context(b) if quant else None, _external(s, d))
+    """The engine over all series; its tables are kept for the session, as many queries report on them."""
+    key = (s.sparkContext.applicationId, d, quant)
+    if key not in _runs:
+        b = walk_bars(s, d)
+        week = resample.complete_bars(_weekly(s, d))
+        week = week.withColumn("bar_index", F.row_number().over(joins.Window.partitionBy("ticker", "timeframe").orderBy("timestamp")) - 1)
+        _runs[key] = engine.run_pattern_engine(b, "1Day", fixtures.benchmark(b), {"1Week": week}, models.quant_context(b) if quant else None, _external(s, d))
+    return _runs[key]
 
 
 def q_evidence(s, d):
