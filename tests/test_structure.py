@@ -51,7 +51,7 @@ def test_gap_and_fill(spark):
 
 
 def test_levels_do_not_look_ahead(spark):
-    bars = frame(spark, walk(300))
+    bars = frame(spark, walk(300), walk(300))
     swings = structure.confirmed_swings(bars)
     full = {(r.asof_index, r.price_level, r.touch_count) for r in structure.levels_history(bars, swings).collect()}
     short = bars.where("bar_index <= 220")
@@ -64,7 +64,7 @@ def test_levels_do_not_look_ahead(spark):
     lambda b: structure.structure_asof(b, structure.confirmed_swings(b)).select("bar_index", "structural_state", "last_high", "prev_low"),
 ])
 def test_prefix_invariance(spark, run):
-    assert engine.prefix_differences(run, frame(spark, walk(140)), 100).isEmpty()
+    assert engine.prefix_differences(run, frame(spark, walk(140), walk(140)), 100).isEmpty()
 
 
 def machine_rows(n, required=lambda i: True, confirm=lambda i: False, fail=lambda i: False):
