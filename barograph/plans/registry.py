@@ -221,8 +221,15 @@ def q_intraday_extended_4h(s, d):
     return _blocks(s, d, "extended", 4)
 
 
+def _request(bars):
+    """The request that covers every session: from midnight of the first day to the close of the last."""
+    first, last = bars.agg(F.min("session_date"), F.max("session_date")).first()
+    return scalars.ny_clock(F.lit(first).cast("date"), 0), scalars.ny_clock(F.lit(last).cast("date"), 16)
+
+
 def _weekly(s, d):
-    return resample.weekly(walk_bars(s, d), fixtures.at("1992-01-08"), fixtures.at("1998-10-15 12:00:00"))
+    b = walk_bars(s, d)
+    return resample.weekly(b, *_request(b))
 
 
 def q_weekly(s, d):
