@@ -316,7 +316,7 @@ def q_headline_score(s, d):
 
 
 def q_redaction(s, d):
-    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("https://x.example/?id=7&API_KEY=k"), C("doc_id").cast("string"), F.lit("&token=abc next hunter2 "), F.substring("text", 1, 40)).alias("t"))
+    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("https://x.example/?id=7&API_KEY=k"), C("doc_id").cast("string"), F.lit("&token=abc next hunter2 "), C("text")).alias("t"))
     return t.select("doc_id", scalars.redact_secrets(C("t"), ("hunter2",)).alias("redacted"))
 
 

@@ -27,3 +27,10 @@ def test_weeks_hold_every_session(spark, tables):
     last = registry.q_asof_timeframe(spark, tables).orderBy("bar_index").collect()[-1]
     assert last.week_close == weeks[-1].close
     assert registry._weekly(spark, tables).limit(0).count() == 0
+
+
+def test_redaction_reads_the_whole_text(spark, tmp_path):
+    text = "x" * 60 + " api_key=abc&b=1 hunter2 " + "y" * 5000 + " token=zzz end"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.redacted for r in registry.q_redaction(spark, str(tmp_path)).collect()}
+    assert got[1].endswith("x" * 60 + " api_key=[REDACTED]&b=1 [REDACTED] " + "y" * 5000 + " token=[REDACTED] end") and got[2] is None
