@@ -380,12 +380,8 @@ def second_pairs(edges: DataFrame, labels: DataFrame, profile: DataFrame, rule:
     return pairs.distinct().withColumn("members", F.lit(UNIT))
 
 
-def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: component_id is the least doc_id reachable over links, itself included.
-
-    Null texts and texts without words have no shingles and no links. Rows equal in doc_id and text count as one document.
-    Other columns are not used; an empty input gives an empty result.
-    """
+def classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """(found, names): found has _d, n_shingles and component_id, the least _d reachable over links; names as of numbered()."""
     rows, names = numbered(docs)
     copies = rows.select("_d", F.xxhash64("text").alias("h"), F.md5(F.encode("text", "UTF-8")).alias("m")).where("text is not null")
     first = copies.groupBy("h", "m").agg(F.min("_d").alias("first"), F.count("*").alias("copies"))
@@ -404,7 +400,16 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
             labels = components(merged.unionByName(late))
     out = profile.select("_d", F.col("n").alias("n_shingles")).join(others.select("_d", "first"), "_d", "left").withColumn("node", F.coalesce("first", "_d"))
     out = out.join(labels, "node", "left").select("_d", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("_d")).alias("component_id"))
-    return named(out, names, ("component_id",))
+    return out, names
+
+
+def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: component_id is the least doc_id reachable over links, itself included.
+
+    Null texts and texts without words have no shingles and no links. Rows equal in doc_id and text count as one document.
+    Other columns are not used; an empty input gives an empty result.
+    """
+    return named(*classes(docs, rule), ("component_id",))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.llm import common as C
-from barograph.llm import jaccard, language, mixing, packing, suffixes
+from barograph.llm import identity, jaccard, language, mixing, packing, suffixes
 
 #: A document whose most likely language has less than this share of it is rejected, as are those without any letter.
 LEAST_SHARE = 0.3
@@ -34,15 +34,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near-duplicates; of rows that repeat it, the first by text."""
-    classes = jaccard.near_duplicates(docs, NEAR)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    repeated = kept.where("_n > 1 or doc_id is null")
-    on = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    if repeated.isEmpty():
-        return _columns(docs.join(kept.where("doc_id is not null").hint("merge"), "doc_id", "left_semi"), docs)
-    x = docs.join(kept.select("doc_id"), on, "left_semi").withColumn("_h", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    one = x.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("_h", F.coalesce("source", F.lit("")))).alias("_row"))
+    """Keeps the document of smallest doc_id of each group of near-duplicates, those without one first; of rows equal in doc_id
+    and text, one. Different texts that share a doc_id, or have none, are different documents."""
+    found, names = jaccard.classes(docs, NEAR)
+    kept = found.where(F.col("_d") == F.col("component_id")).select("_d")
+    if names is None:
+        return _columns(docs.join(kept.withColumnRenamed("_d", "doc_id").hint("merge"), "doc_id", "left_semi"), docs)
+    kept = names.join(kept, "_d").select("_d", F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"))
+    x = docs.withColumn("_h", identity.text_hash())
+    x = x.join(kept.hint("merge"), x["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (x["_h"] == kept["_hash"]))
+    one = x.groupBy("_d").agg(F.min_by(F.struct(*docs.columns), F.coalesce("source", F.lit(""))).alias("_row"))
     return one.select("_row.*")
 
 
@@ -54,10 +55,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them: rows repeat for repeated epochs."""
-    taken = mixing.mix_documents(docs, whole=True).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    x = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return _columns(x, docs)
+    """Whole documents, as often as the mix takes them: rows repeat for repeated epochs. Where doc_ids are null or repeated, rows
+    go by a number of their own."""
+    times = (F.col("taken") / F.col("size")).cast("int").alias("_times")
+    if identity.unique(docs):
+        taken = mixing.mix_documents(docs, whole=True).where("taken > 0").select(F.col("doc_id").alias("_id"), times)
+        x = docs.join(taken.hint("merge"), docs["doc_id"] == taken["_id"])
+    else:
+        rows = C.stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        sized = rows.select("_row", "doc_id", "source", mixing.size_of(F.col("text")).alias("size"), mixing.key_of(F.col("doc_id"), identity.text_hash()).alias("_key"))
+        taken = mixing.mix(C.stash(sized, "sizes"), whole=True).where("taken > 0").select("_row", times)
+        x = rows.join(taken.hint("merge"), "_row")
+    return _columns(x.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,18 @@ def test_run_on_a_table(spark, tmp_path):
     frame(spark, corpus(8, 60)).write.parquet(f"{tmp_path}/documents.parquet")
     got = P.run(spark, str(tmp_path))
     assert got.count() > 0 and got.columns[:2] == ["doc_id", "piece"]
+
+
+def test_null_and_repeated_ids_keep_their_own_texts(spark):
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    near = words(1) + " more"
+    rows = [(None, words(0)), (None, words(1)), (None, None), (3, near), (3, words(3)), (3, words(3)), (4, words(4)), (4, words(5)), (5, words(4) + " end"), (6, words(6))]
+    docs = frame(spark, rows).withColumn("source", P.F.lit("a"))
+    # `near` goes with the second row, row 8 with one text of id 4, the repeated row with its like.
+    want = Counter([(None, words(0)), (None, words(1)), (None, None), (3, words(3)), (4, words(4)), (4, words(5)), (6, words(6))])
+    one = P.C.stash(P.near_duplicates(spark, docs, ""), "one")
+    assert one.columns == docs.columns and Counter((r.doc_id, r.text) for r in one.collect()) == want
+    mixed = P.source_mix(spark, one, "")  # the only source is taken once
+    assert mixed.columns == docs.columns and Counter((r.doc_id, r.text) for r in mixed.collect()) == want - Counter([(None, None)])
+    again = P.source_mix(spark, docs.where("text is not null"), "")
+    assert Counter((r.doc_id, r.text) for r in again.collect()) == Counter(r for r in rows if r[1])
