@@ -11,7 +11,7 @@ from barograph.plans import engine, evidence, fixtures
 from barograph.sources.readers import ticks, walk_bars
 
 C = F.col
-FOLD_STEP = 504
+FOLD_STEP = 63
 
 
 def rounded(df: DataFrame, keys: list[str], columns: list[str], digits: int = 6) -> DataFrame:
