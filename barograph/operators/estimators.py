@@ -77,34 +77,54 @@ def autoreg_one_step(beta: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _arma_residuals(y: np.ndarray, c: float, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    p, q = len(phi), len(theta)
-    ys, e = y.tolist(), [0.0] * len(y)
-    for t in range(len(y)):
-        mean = c
-        for i in range(min(p, t)):
-            mean += phi[i] * ys[t - 1 - i]
-        for i in range(min(q, t)):
-            mean += theta[i] * e[t - 1 - i]
-        e[t] = ys[t] - mean
-    return np.array(e)
-
-
-def fit_arima(y: np.ndarray, orders: tuple[tuple[int, int, int], ...] = ((0, 0, 0), (1, 0, 0), (0, 0, 1), (1, 0, 1), (2, 0, 0), (0, 1, 0), (1, 1, 0), (0, 1, 1), (1, 1, 1))) -> dict:
-    """The order of best AIC by conditional least squares."""
+    """Residuals with zeros before the first row; the moving average alone needs a loop."""
+    x = y - c
+    for i, v in enumerate(phi, 1):
+        x[i:] -= v * y[:-i]
+    q, rest, out = len(theta), theta.tolist(), []
+    if q == 0:
+        return x
+    if q > 2:
+        for t, v in enumerate(x.tolist()):
+            out.append(v - sum(rest[i] * out[t - 1 - i] for i in range(min(q, t))))
+        return np.array(out)
+    one, two = rest[0], rest[1] if q > 1 else 0.0
+    e = before = 0.0
+    for v in x.tolist():
+        e, before = v - one * e - two * before, e
+        out.append(e)
+    return np.array(out)
+
+
+def _stationary(phi: np.ndarray) -> bool:
+    """Whether the roots lie outside the unit circle; beyond order 2 a sufficient bound."""
+    if len(phi) == 2:
+        return abs(phi[1]) < 0.999 and phi[1] + abs(phi[0]) < 0.999
+    return np.abs(phi).sum() < 0.999
+
+
+#: The orders of the reference's fold audit: p and q up to 2, d up to 1.
+ORDERS = tuple((p, d, q) for d in range(2) for p in range(3) for q in range(3))
+
+
+def fit_arima(y: np.ndarray, orders: tuple[tuple[int, int, int], ...] = ORDERS, most: int = 800) -> dict:
+    """The order of best AIC by conditional least squares, of those that converged."""
     best = None
     for p, d, q in orders:
         x = np.diff(y) if d else y
-        start = np.concatenate([[x.mean()], np.zeros(p + q)])
+        start, scale = np.concatenate([[x.mean()], np.zeros(p + q)]), max(float(x.var()), 1e-300)
 
-        def loss(v, x=x, p=p, q=q):
-            if np.abs(v[1 : 1 + p]).sum() >= 0.999 or np.abs(v[1 + p :]).sum() >= 0.999:
+        def loss(v, x=x, p=p, scale=scale):
+            if not (_stationary(v[1 : 1 + p]) and _stationary(-v[1 + p :])):
                 return 1e12
             e = _arma_residuals(x, v[0], v[1 : 1 + p], v[1 + p :])
-            return float(e @ e) / len(e)
+            return float(e @ e) / len(e) / scale
 
-        v, value, done = (start, loss(start), True) if p + q == 0 else nelder_mead(loss, start, most=120)
+        v, value, done = (start, loss(start), True) if p + q == 0 else nelder_mead(loss, start, most=most)
+        if not done:
+            continue
         n = len(x)
-        loglik = -0.5 * n * (math.log(2 * math.pi * max(value, 1e-300)) + 1)
+        loglik = -0.5 * n * (math.log(2 * math.pi * max(value * scale, 1e-300)) + 1)
         fit = {"order": (p, d, q), "params": v, "aic": -2 * loglik + 2 * (p + q + 2), "bic": -2 * loglik + math.log(n) * (p + q + 2), "converged": done}
         if best is None or fit["aic"] < best["aic"]:
             best = fit

@@ -79,8 +79,8 @@ def evaluate_returns(features: DataFrame, splits: DataFrame) -> DataFrame:
         found = [("zero", 0.0, None), ("last", float(train[-1]), None)]
         auto = E.fit_autoreg(train)
         found.append(("AutoReg", float(E.autoreg_one_step(auto["beta"], y)[-1]), str(auto["lags"])))
-        arima = E.fit_arima(train[-500:])
-        found.append(("ARIMA", float(E.arima_one_step(arima, y[-501:])[-1]), "-".join(map(str, arima["order"]))))
+        arima = E.fit_arima(train)
+        found.append(("ARIMA", float(E.arima_one_step(arima, y)[-1]), "-".join(map(str, arima["order"]))))
         first, last = pdf["timestamp"].iloc[0], pdf["timestamp"].iloc[-2]
         return pd.DataFrame([(pdf["ticker"].iloc[0], m, first, last, pdf["timestamp"].iloc[-1], f, actual, f - actual, p) for m, f, p in found], columns=FORECAST_COLUMNS)
 
