@@ -227,6 +227,12 @@ def best_variance(kind: str, returns_pct: np.ndarray) -> dict:
     return min((fit_variance(kind, returns_pct, dist) for dist in ("normal", "t")), key=lambda fit: fit["aic"])
 
 
+def settled_variance(kind: str, returns_pct: np.ndarray, most: int = 600) -> dict | None:
+    """The Normal or Student-t fit of best AIC of those that converged; None if neither did."""
+    fits = [fit_variance(kind, returns_pct, dist, most) for dist in ("normal", "t")]
+    return min((f for f in fits if f["converged"] and math.isfinite(f["aic"])), key=lambda fit: fit["aic"], default=None)
+
+
 # --- state space ------------------------------------------------------------------------------------------------------
 
 

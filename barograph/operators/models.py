@@ -92,7 +92,9 @@ FORECAST_COLUMNS = [c.split()[0] for c in FORECASTS.split(", ")]
 
 
 def evaluate_volatility(features: DataFrame, splits: DataFrame) -> DataFrame:
-    """One-step forecasts of 20-bar realised volatility: last, HAR, GARCH, EGARCH, GJR from 19 known squares and the variance."""
+    """One-step forecasts of 20-bar realised volatility: last, HAR, GARCH, EGARCH, GJR from 19 known squares and the variance.
+
+    The last three choose Normal or Student-t errors by AIC; a fold where neither converges has no row of that model."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_index")
@@ -105,7 +107,9 @@ def evaluate_volatility(features: DataFrame, splits: DataFrame) -> DataFrame:
         except ValueError:
             pass
         for name, kind in (("GARCH", "garch"), ("EGARCH", "egarch"), ("GJR-GARCH", "gjr")):
-            fit = E.fit_variance(kind, known * 100, most=120)
+            fit = E.settled_variance(kind, known * 100)
+            if fit is None:
+                continue
             path = E.variance_path(kind, np.append(known * 100 - fit["mu"], 0.0), fit["params"], fit["backcast"])
             found.append((name, float(np.sqrt((known[-19:] ** 2).sum() + path[-1] / 1e4)), fit["dist"]))
         first, last = pdf["timestamp"].iloc[0], pdf["timestamp"].iloc[-2]

@@ -34,3 +34,15 @@ def test_arima_reaches_all_stationary_parameters():
         y.append(1.2 * y[-1] - 0.5 * y[-2] + v)
     fit = E.fit_arima(np.array(y), ((2, 0, 0),))
     assert fit["params"][1:] == pytest.approx([1.2, -0.5], abs=0.08)
+
+
+def test_variance_models_choose_their_errors(spark):
+    r = np.random.default_rng(4).standard_t(3, 420) * 0.01
+    start = dt.datetime(2020, 1, 1)
+    rv = lambda i: float(np.sqrt((r[i - 20 : i] ** 2).sum())) if i >= 20 else None
+    rows = [("A", "1Day", i, start + dt.timedelta(days=i), None if i == 0 else float(r[i - 1]), rv(i)) for i in range(421)]
+    features = spark.createDataFrame(rows, "ticker string, timeframe string, bar_index int, timestamp timestamp, log_return double, realized_volatility_20 double")
+    splits = spark.createDataFrame([("A", "1Day", 0, 0, 420, 420)], "ticker string, timeframe string, fold int, train_start int, train_end int, test_pos int")
+    got = {r.model: r.parameter for r in models.evaluate_volatility(features, splits).collect()}
+    assert (got["GARCH"], got["EGARCH"], got["GJR-GARCH"]) == ("t", "t", "t")
+    assert E.settled_variance("garch", r[:300] * 100, most=1) is None
