@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -129,9 +130,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_lower = np.arange(256)
-_lower[65:91] += 32
-_BYTE_LOWER = _BYTE[_lower]
+_LOWER = np.arange(256).astype(np.uint8)
+_LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -146,11 +146,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def prefix_hashes(buf: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Polynomial hashes of all prefixes; span_hashes() gives those of any span from them."""
+def prefix_hashes(buf: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes; span_hashes() gives those of any span from them. Texts can be built to collide: what
+    is found equal by them must be verified."""
     up, _ = powers(len(buf))
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * up, out=out[1:])
+    np.cumsum(_BYTE[buf] * up, out=out[1:])
     return out
 
 
@@ -160,6 +161,58 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * down[start]
 
 
+#: Spans of more bytes than this are digested one by one by blake2b instead of lane by lane.
+LONG_SPAN = 128
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place on, zeros behind the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def span_digests(view: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit digests of the spans [start, end) of buf, whose lanes() are `view`: a non-linear mix lane by lane, so that no text
+    is built to collide as with a polynomial; two salts give independent digests."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _U((salt * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % (1 << 64)))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    step = 0
+    while len(live):
+        left = size[live] - step
+        out[live] = mix(out[live] ^ (view[start[live] + step] & _MASKS[np.minimum(left, 8)])) + out[live]
+        step += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=salt.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def same_spans(view: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether the spans [start, end) and [other, other_end) hold the same bytes."""
+    size = end - start
+    equal = size == other_end - other
+    live = np.flatnonzero(equal & (start != other))
+    step = 0
+    while len(live):
+        if step > LONG_SPAN:
+            for i in live.tolist():
+                equal[i] = np.array_equal(buf[start[i] : end[i]], buf[other[i] : other_end[i]])
+            break
+        left = size[live] - step
+        equal[live] = ((view[start[live] + step] ^ view[other[live] + step]) & _MASKS[np.clip(left, 0, 8)]) == 0
+        step += 8
+        live = live[(left > 8) & equal[live]]
+    return equal
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """buf with A-Z in lower case."""
+    return _LOWER[buf]
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of the maximal runs without ASCII white space, and the row each lies in. No span crosses rows."""
     if not len(buf):

@@ -57,32 +57,72 @@ class Rule:
         return np.array(edges, np.int64)
 
 
-def shingles(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(buf: np.ndarray, offs: np.ndarray, words: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of all rows, sorted. Rows with fewer words have their whole sequence as one."""
+    row, hashes = all_shingles(buf, offs, words, (salt,))
+    return _distinct(row, hashes[0])
+
+
+def _distinct(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return row[fresh], hashes[fresh]
+
+
+def all_shingles(buf: np.ndarray, offs: np.ndarray, words: int, salts: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row, hashes) of the shingles of all rows in the order of the text, one array of hashes for each salt."""
     start, end, row = C.words(buf, offs)
     if not len(start):
-        return row, row.astype(np.uint64)
-    one = C.mix(C.span_hashes(C.prefix_hashes(buf, lower=True), start, end) + (end - start).astype(np.uint64))
-    n = len(offs) - 1
+        return row, [row.astype(np.uint64) for _ in salts]
+    low = C.lowered(buf)
+    view = C.lanes(low)
+    n, m = len(offs) - 1, len(start)
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     length = np.minimum(count, words)
-    hashes = np.zeros(len(one), np.uint64)
-    left = (first + count)[row] - np.arange(len(one))  # words from here to the end of the row
-    for i in range(words):
-        factor = _U(pow(0xA24BAED4963EE407, i + 1, 1 << 64))
-        part = np.zeros(len(one), np.uint64)
-        part[: len(one) - i] = one[i:] * factor
-        part[left <= i] = 0
-        hashes += part
+    left = (first + count)[row] - np.arange(m)  # words from here to the end of the row
     full = (left >= words) | ((count[row] < words) & (left == count[row]))
-    hashes = C.mix(hashes + length[row].astype(np.uint64))[full]
-    row = row[full]
+    out = []
+    for salt in salts:
+        one = C.span_digests(view, low, start, end, salt)
+        hashes = C.mix(one)  # so that the order of words counts
+        for i in range(1, words):
+            inside = np.flatnonzero(left > i)
+            part = np.zeros(m, np.uint64)
+            part[inside] = one[inside + i]
+            hashes = C.mix(hashes + part)
+        out.append(C.mix(hashes + length[row].astype(np.uint64))[full])
+    return row[full], out
+
+
+def checked_shingles(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, second hash) of the distinct shingles, sorted by row and hash: two shingles are the same when both agree."""
+    row, (hashes, second) = all_shingles(buf, offs, words, (0, 1))
     order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    return row[fresh], hashes[fresh]
+    row, hashes, second = row[order], hashes[order], second[order]
+    near = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
+    if (near & (second[1:] != second[:-1])).any():  # shingles that collide in the first hash
+        order = np.lexsort((second, hashes, row))
+        row, hashes, second = row[order], hashes[order], second[order]
+        near = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1]) & (second[1:] == second[:-1])
+    fresh = np.append(True, ~near) if len(row) else np.ones(0, bool)
+    return row[fresh], hashes[fresh], second[fresh]
+
+
+def shared_shingles(mine: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that two sets (hashes, second hashes), as of checked_shingles(), have in common."""
+    if not len(mine[0]) or not len(own[0]):
+        return 0
+    at = np.minimum(np.searchsorted(mine[0], own[0]), len(mine[0]) - 1)
+    equal = mine[0][at] == own[0]
+    if equal.all() and len(own[0]) and (mine[1][at] == own[1]).all():
+        return len(own[0])
+    agreed = equal & (mine[1][at] == own[1])
+    if (equal & ~agreed).any():  # a collision in the first hash: look at both
+        return len(set(zip(mine[0].tolist(), mine[1].tolist(), strict=True)) & set(zip(own[0].tolist(), own[1].tolist(), strict=True)))
+    return int(agreed.sum())
 
 
 def largest_gap(rule: Rule, edges: np.ndarray, band: np.ndarray) -> np.ndarray:
@@ -212,7 +252,7 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, offs in C.text_chunks(batch):
-                row, hashes = shingles(buf, offs, rule.words)
+                row, hashes, _ = checked_shingles(buf, offs, rule.words)
                 cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
                 sketches = [parity_sketch(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("_d"), pa.array(np.diff(cut)), pa.array(sketches, pa.binary())], ["_d", "n", "sketch"])
@@ -308,20 +348,18 @@ def verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     rows = members.join(docs.select("_d", "text").hint("merge"), "_d").repartition(n, "unit").sortWithinPartitions("unit", "a", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(0, np.uint64)
+        mine = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         for batch in batches:
             for part, buf, offs in C.text_chunks(batch):
-                row, hashes = shingles(buf, offs, rule.words)
+                row, hashes, second = checked_shingles(buf, offs, rule.words)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 out: list[tuple] = []
                 for i, (a, d, partner) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "_d", "partner")), strict=True)):
-                    own = hashes[cut[i] : cut[i + 1]]
+                    own = hashes[cut[i] : cut[i + 1]], second[cut[i] : cut[i + 1]]
                     if not partner:
-                        mine = own.copy()
+                        mine = own[0].copy(), own[1].copy()
                         continue
-                    at = np.searchsorted(mine, own)
-                    shared = int((mine[np.minimum(at, len(mine) - 1)] == own).sum()) if len(mine) else 0
-                    out.append((a, d, len(mine), len(own), shared))
+                    out.append((a, d, len(mine[0]), len(own[0]), shared_shingles(mine, own)))
                 values = np.array(out, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([pa.array(values[:, i]) for i in range(5)], ["a", "b", "na", "nb", "shared"])
 

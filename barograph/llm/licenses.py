@@ -68,7 +68,7 @@ def bigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(row, line of the first word, line of the second word, hash) of the bigrams inside rows."""
     folded = _FOLD[buf]
     start, end, row = C.words(folded, offs)
-    one = C.mix(C.span_hashes(C.prefix_hashes(folded), start, end) + (end - start).astype(np.uint64))
+    one = C.span_digests(C.lanes(folded), folded, start, end)
     lines = np.cumsum(buf == 10)
     line = lines[start] if len(start) else start
     pair = np.flatnonzero(row[1:] == row[:-1]) + 1

@@ -66,6 +66,19 @@ def token_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begins, ends, row[np.searchsorted(start, begins, "right") - 1]
 
 
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first span of each distinct content, number of each span's content). Spans meet by digest; their bytes
+    decide."""
+    view = C.lanes(buf)
+    _, first, back = np.unique(C.span_digests(view, buf, start, end), return_index=True, return_inverse=True)
+    to = first[back]
+    if not C.same_spans(view, buf, start, end, start[to], end[to]).all():  # a digest that two contents share
+        numbers: dict[bytes, int] = {}
+        back = np.array([numbers.setdefault(buf[a:b].tobytes(), len(numbers)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        _, first = np.unique(back, return_index=True)
+    return first, back
+
+
 class WordTokenizer:
     """ids of whole texts, by tokenising each distinct unit (see token_units) once.
 
@@ -91,13 +104,13 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}  # its size is bounded by WORD_CACHE units of about a word each
         self.start = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.int32)
         self.used = 0
 
-    def keep(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+    def keep(self, keys: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         have = len(self.known)
         while have + len(keys) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
@@ -109,7 +122,8 @@ class WordTokenizer:
         self.used += len(ids)
         self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
 
-    def learn(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def learn(self, keys: list[bytes], buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
+        """Slots of new units, given by their bytes and their places in buf."""
         plain = is_plain(buf, start, end)
         if plain.any():
             begin, size = start[plain], (end - start)[plain] + 1  # with the blank behind each
@@ -118,12 +132,13 @@ class WordTokenizer:
             joined[at - 1] = 0x20
             text = joined.tobytes().decode().lower()
             ids = np.asarray(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            self.keep(keys[plain].tolist(), ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+            self.keep([keys[i] for i in np.flatnonzero(plain).tolist()], ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
         if not plain.all():
-            rest = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
-            got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            rest = [keys[i] for i in np.flatnonzero(~plain).tolist()]
+            got = self.tokenizer.encode([k.decode("utf-8", "replace") for k in rest], is_pretokenized=True, add_special_tokens=False)
             of = np.asarray(got.word_ids, np.int64)
-            self.keep(keys[~plain].tolist(), np.asarray(got.ids, np.int32), np.bincount(of, minlength=len(rest)) if len(of) else np.zeros(len(rest), np.int64))
+            self.keep(rest, np.asarray(got.ids, np.int32), np.bincount(of, minlength=len(rest)) if len(of) else np.zeros(len(rest), np.int64))
+        return [self.known[k] for k in keys]
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and the number of ids of each row."""
@@ -131,16 +146,15 @@ class WordTokenizer:
         n = len(offs) - 1
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        hashes = C.mix(C.span_hashes(C.prefix_hashes(buf), start, end)) + (end - start).astype(np.uint64)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        first, back = distinct_spans(buf, start, end)
+        raw = buf.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.known) + len(keys) > max(WORD_CACHE, len(keys)):
             self.clear()
         slots = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            self.learn(distinct[new], buf, start[first[new]], end[first[new]])
-            slots[new] = [self.known[k] for k in distinct[new].tolist()]
+            slots[new] = self.learn([keys[i] for i in new.tolist()], buf, start[first[new]], end[first[new]])
         slot = slots[back]
         counts = self.count[slot]
         ends = np.cumsum(counts)

@@ -111,3 +111,57 @@ def test_sketches_bound_the_difference():
         assert far <= len(np.setxor1d(a, b))
         assert J.hamming(J.parity_sketch(a), J.parity_sketch(a)) == 0
     assert J.hamming(J.folded(J.parity_sketch(a), 64), J.parity_sketch(a)) == 0
+
+
+def test_one_short_document_a_chunk():
+    """Chunks of fewer words than a shingle."""
+    import numpy as np
+
+    for words in (4, 5):
+        for n in range(7):
+            text = " ".join(f"w{i}" for i in range(n)).encode()
+            row, hashes = J.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)
+            assert len(hashes) == len(row) == (max(1, n - words + 1) if n else 0)
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_one_document_a_partition(spark, words):
+    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in range(7)]
+    rows += [(n + 10, t.upper()) for n, t in rows]
+    rule = J.Rule(words, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(14, "doc_id")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(docs, rule).collect()) == plain(rows, rule)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_built_to_collide_do_not_link(spark):
+    one, other = thue_morse(2048)
+    shared = " ".join(f"s{i}" for i in range(5))
+    rows = [(1, f"{one} {shared}"), (2, f"{other} {shared}"), (3, one), (4, other)]
+    rule = J.Rule(4, 85)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, rule)
+
+
+def test_collisions_of_the_first_hash_are_told_apart():
+    import numpy as np
+
+    u = lambda *x: np.array(x, np.uint64)
+    assert J.shared_shingles((u(1, 2, 3), u(7, 8, 9)), (u(1, 2, 4), u(7, 0, 9))) == 1
+    assert J.shared_shingles((u(1, 1, 3), u(6, 7, 9)), (u(1, 3), u(7, 9))) == 2
+    assert J.shared_shingles((u(), u()), (u(1), u(1))) == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200_000)]
+    edited = list(base)
+    for i in range(0, len(base), 400):
+        edited[i] = "edit"
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[: len(base) // 2])), (4, "x" * 1_000_000), (5, "X" * 1_000_000)]
+    rule = J.Rule(4, 85)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, rule)

@@ -101,3 +101,22 @@ def test_cache_restarts(spark, plain, monkeypatch):
     for text in ("one two three four five", "six one", "two seven eight"):
         raw = np.frombuffer(text.encode(), np.uint8)
         assert tok.encode(raw, np.array([0, len(raw)]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_words_built_to_collide(spark, plain):
+    """Words whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = "".join("ba"[i.bit_count() % 2] for i in range(2048))
+    rows = P.tokenize_pieces(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string").coalesce(1), P.default_tokenizer()).collect()
+    for r, text in zip(sorted(rows, key=lambda r: (r.doc_id, r.piece)), (one, other), strict=True):
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*plain.encode(text, add_special_tokens=False).ids, 0]))
+
+
+def test_a_shared_digest_is_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(P.C, "span_digests", lambda view, buf, start, end, salt=0: (end - start).astype(np.uint64))
+    raw = np.frombuffer(b"ab cd ab xyz", np.uint8)
+    first, back = P.distinct_spans(raw, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 12]))
+    assert back[0] == back[2] != back[1] and len(first) == 3 == len(set(back.tolist()))
+    assert [raw[np.array([0, 3, 6, 9])[first[b]]] for b in back.tolist()] == list(b"acax")
