@@ -162,7 +162,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 
 #: Spans of more bytes than this are digested one by one by blake2b instead of lane by lane.
-LONG_SPAN = 128
+LONG_SPAN = 256
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 

@@ -24,8 +24,8 @@ from barograph.llm import common as C
 CAPACITY = 2048
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 0
-#: Entries of a worker's table from word to ids; beyond it the table starts anew. Bounds memory, never results.
-WORD_CACHE = 300_000
+#: Entries of a worker's table from word to ids, and their bytes; beyond either the table starts anew. Bounds memory, never results.
+WORD_CACHE, WORD_BYTES = 300_000, 16 << 20
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -104,7 +104,8 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # its size is bounded by WORD_CACHE units of about a word each
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.start = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.int32)
@@ -121,6 +122,7 @@ class WordTokenizer:
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
+        self.held += sum(map(len, keys))
 
     def learn(self, keys: list[bytes], buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
         """Slots of new units, given by their bytes and their places in buf."""
@@ -149,7 +151,7 @@ class WordTokenizer:
         first, back = distinct_spans(buf, start, end)
         raw = buf.tobytes()
         keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if len(self.known) + len(keys) > max(WORD_CACHE, len(keys)):
+        if self.known and (len(self.known) + len(keys) > WORD_CACHE or self.held > WORD_BYTES):
             self.clear()
         slots = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)

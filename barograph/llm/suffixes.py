@@ -7,7 +7,8 @@ occurrence form a cell. Then:
 1. each block of documents sends one row per distinct cell (what repeats inside a block is settled there), so a string that a
    third of all documents share sends one row per block;
 2. rows meet by anchor hash (anchors that a scan of some documents finds frequent also by cell, which only routes rows): all
-   but the first of equal cells are repeats; anchors with several distinct cells ask for the bytes of the first of each;
+   but the first of equal cells are repeats; anchors with several distinct cells ask for the bytes of the first of each. Cells
+   are equal when their anchors' hashes, their polynomial hashes and independent non-linear digests of their bytes all agree;
 3. those cells meet by anchor, and their windows are suffix-sorted: prefix polynomial hashes and binary search give common
    extensions, so a comparison in the mergesort takes logarithmic time; windows found equal are verified byte by byte.
    Anchors with more than GROUP cells come window by window instead, so that no group grows with the input.
@@ -38,12 +39,12 @@ _U = np.uint64
 
 
 def cells(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, start, windows, place of the anchor in the cell, anchor hash, cell hash) of the cells of all rows."""
+    """(row, start, windows, place of the anchor in the cell, anchor hash, cell hash, cell digest) of the cells of all rows."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     rows = np.flatnonzero(np.diff(offs) >= length)
     if not len(rows):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, *(none.astype(np.uint64) for _ in range(3))
     prefix = C.prefix_hashes(buf)
     _, down = C.powers(n + 1)
     grams = (prefix[k:] - prefix[:-k]) * down[: n + 1 - k]
@@ -71,33 +72,46 @@ def cells(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.nd
     stop = np.append(start[1:], n)
     windows = np.minimum(stop, offs[row + 1] - length + 1) - start
     at = anchor[start]
-    whole = C.mix(C.span_hashes(prefix, start, start + windows + length - 1)) + windows.astype(np.uint64)
-    return row, start - offs[row], windows, at - start, C.mix(grams[at]), whole
+    end = start + windows + length - 1
+    whole = C.mix(C.span_hashes(prefix, start, end)) + windows.astype(np.uint64)
+    return row, start - offs[row], windows, at - start, C.mix(grams[at]), whole, C.span_digests(C.lanes(buf), buf, start, end)
 
 
-CELL_SCHEMA = "route long, anchor long, cell long, _d long, start int, windows short, place short, repeat boolean"
+#: `span` packs start, windows, place, whether the anchor is frequent and whether the cell repeats one of its block.
+CELL_SCHEMA = "anchor long, cell long, digest long, _d long, span long"
+SPAN_BITS = 12
+
+
+def pack_span(start, windows, place, hot, repeat) -> np.ndarray:
+    return (((start.astype(np.int64) << SPAN_BITS | windows) << SPAN_BITS | place) << 2) | (hot.astype(np.int64) << 1) | repeat
+
+
+def unpack_span(span: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, windows, place, repeat) of packed spans."""
+    least = (1 << SPAN_BITS) - 1
+    return (span >> (2 * SPAN_BITS + 2)).astype(np.int32), (span >> (SPAN_BITS + 2) & least).astype(np.int16), (span >> 2 & least).astype(np.int16), (span & 1).astype(bool)
 
 
 def block_cells(docs: DataFrame, frequent: np.ndarray, length: int, k: int) -> DataFrame:
     """The cells of all documents, repeats inside a block marked. Frequent anchors are routed with their cell."""
 
+    if length - k + 1 >= 1 << SPAN_BITS:
+        raise ValueError(f"windows of {length} bytes are too long for their packed places")
+
     def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, start, windows, place, anchor, cell = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = C.mix(anchor ^ (cell * _U(0x9E3779B97F4A7C15)))
+        doc, start, windows, place, anchor, cell, digest = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = C.mix(anchor ^ (cell * _U(0x9E3779B97F4A7C15))) + digest
         order = np.lexsort((start, doc, key))
-        doc, start, windows, place, anchor, cell, key = (x[order] for x in (doc, start, windows, place, anchor, cell, key))
+        doc, start, windows, place, anchor, cell, digest, key = (x[order] for x in (doc, start, windows, place, anchor, cell, digest, key))
         repeat = np.zeros(len(key), bool)
-        repeat[1:] = (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1]) & (cell[1:] == cell[:-1])
+        repeat[1:] = (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1]) & (cell[1:] == cell[:-1]) & (digest[1:] == digest[:-1])
         at = np.minimum(np.searchsorted(frequent, anchor), max(len(frequent) - 1, 0))
         hot = frequent[at] == anchor if len(frequent) else np.zeros(len(anchor), bool)
-        route = np.where(hot, key, anchor)
-        route[repeat] = C.mix(doc[repeat].astype(np.uint64) + start[repeat].astype(np.uint64))  # they only pass through
+        span = pack_span(start, windows, place, hot, repeat)
         for lo in range(0, len(key), 50_000):
             s = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(route[s].view(np.int64)), pa.array(anchor[s].view(np.int64)), pa.array(cell[s].view(np.int64)), pa.array(doc[s]),
-                pa.array(start[s].astype(np.int32)), pa.array(windows[s].astype(np.int16)), pa.array(place[s].astype(np.int16)), pa.array(repeat[s]),
-            ], ["route", "anchor", "cell", "_d", "start", "windows", "place", "repeat"])
+            hashes = (pa.array(x[s].view(np.int64)) for x in (anchor, cell, digest))
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(doc[s]), pa.array(span[s])], ["anchor", "cell", "digest", "_d", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -124,7 +138,7 @@ def frequent_anchors(docs: DataFrame, length: int, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, buf, offs in C.text_chunks(batch):
-                row, _, _, _, anchor, _ = cells(buf, offs, length, k)
+                row, _, _, _, anchor, _, _ = cells(buf, offs, length, k)
                 pairs = np.unique(np.stack([row.astype(np.uint64), anchor], 1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64))], ["anchor"])
 
@@ -165,7 +179,7 @@ REPEAT, ASKED, ASKED_BY_WINDOW = 0, 1, 2
 def settle_cells(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Repeats among cells, and the first of each distinct cell where an anchor has several.
 
-    Rows stream in the order (anchor, cell, document, start). Of an open group only the firsts are held, up to GROUP of them;
+    Rows stream in the order (anchor, cell, digest, document, start). Of an open group only the firsts are held, up to GROUP of them;
     beyond, they are asked for window by window and the group goes on as such.
     """
 
@@ -176,31 +190,32 @@ def settle_cells(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.view(np.int64)
         hot = np.sort(hot)
-        last = None  # (anchor, cell, document, start) of the first of the open cell
+        last = None  # (anchor, cell, digest) of the open cell
         held: list[tuple[np.ndarray, ...]] = []  # firsts of the open group
         wide = False  # the open group is asked for window by window
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, cell, d, start, windows, place, repeat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "_d", "start", "windows", "place", "repeat"))
+            anchor, cell, digest, d, span = (batch.column(c).to_numpy() for c in ("anchor", "cell", "digest", "_d", "span"))
+            start, windows, place, repeat = unpack_span(span)
             if repeat.any():
                 yield emit(d[repeat], start[repeat], windows[repeat], place[repeat], anchor[repeat], REPEAT)
-                anchor, cell, d, start, windows, place = (x[~repeat] for x in (anchor, cell, d, start, windows, place))
+                anchor, cell, digest, d, start, windows, place = (x[~repeat] for x in (anchor, cell, digest, d, start, windows, place))
                 if not len(d):
                     continue
             new_anchor, new_cell = np.ones(len(d), bool), np.ones(len(d), bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
-            new_cell[1:] = new_anchor[1:] | (cell[1:] != cell[:-1])
+            new_cell[1:] = new_anchor[1:] | (cell[1:] != cell[:-1]) | (digest[1:] != digest[:-1])
             if last is not None:
                 new_anchor[0] = anchor[0] != last[0]
-                new_cell[0] = new_anchor[0] or cell[0] != last[1]
+                new_cell[0] = (anchor[0], cell[0], digest[0]) != last
             again = ~new_cell
             if again.any():
                 yield emit(d[again], start[again], windows[again], place[again], anchor[again], REPEAT)
             first = np.flatnonzero(new_cell)
             if not len(first):
                 continue
-            last = (anchor[first[-1]], cell[first[-1]])
+            last = (anchor[first[-1]], cell[first[-1]], digest[first[-1]])
             values = [x[first] for x in (d, start, windows, place, anchor)]
             begins = new_anchor[first]
             if not begins[0]:  # the open group goes on
@@ -242,7 +257,10 @@ def settle_cells(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 yield emit(*group, np.where(is_hot, ASKED_BY_WINDOW, ASKED))
 
     n = C.shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "route").sortWithinPartitions("anchor", "cell", "_d", "start").mapInArrow(C.tidy(run), FOUND_SCHEMA)
+    span = F.col("span")
+    passes = span.bitwiseAND(F.lit(1)) == 1  # repeats only pass through
+    route = F.when(passes, F.xxhash64("_d", "span")).when(span.bitwiseAND(F.lit(2)) == 2, F.xxhash64("anchor", "cell", "digest")).otherwise(F.col("anchor"))
+    return rows.repartition(n, route).sortWithinPartitions("anchor", "cell", "digest", "_d", "span").mapInArrow(C.tidy(run), FOUND_SCHEMA)
 
 
 def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -85,3 +85,26 @@ def test_collisions_are_verified(monkeypatch):
     one = np.ones(3, np.int64)
     cell, j = S.repeats_in(buf, one, np.array([0, 100, 200]), one, 0 * one, np.array([1, 2, 3]), 0 * one, 100)
     assert (cell.tolist(), j.tolist()) == ([2], [0])
+
+
+def test_cells_that_share_a_polynomial_hash_are_told_apart(spark, monkeypatch):
+    """Whatever the polynomial hashes say, cells of other bytes are no repeats."""
+    honest = S.cells
+
+    def colliding(*args):
+        *rest, whole, digest = honest(*args)
+        return *rest, np.zeros_like(whole), digest
+
+    monkeypatch.setattr(S, "cells", colliding)
+    rows = corpus(6, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = S.strip_repeats(docs).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == set(plain(rows, 100))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, base), (2, base[100_000:300_000] + "x" + base), (3, "z" * 300_000)]
+    got = S.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == set(plain(rows, 100))
