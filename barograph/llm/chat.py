@@ -1,9 +1,14 @@
 """Chat formatting into budgeted, turn-aligned windows, with DataFrame functions only.
 
 A turn becomes `[INST]role[/INST]text</s>`; the control strings inside roles and texts are escaped reversibly. Prefix sums of
-turn tokens choose spans of new turns of about half the budget; a turn longer than that stands alone. Every window repeats
-the conversation's first system turn (once that has appeared) and as many whole turns of history, up to a limit, as the
-budget leaves room for. Loss covers new assistant texts only, so each is a target exactly once.
+turn tokens choose spans of new turns of about half of what the budget leaves beside the conversation's system turn; a turn
+longer than that stands alone. Every window repeats the conversation's first system turn (once that has appeared) and as
+many whole turns of history, up to a limit, as the budget leaves room for. Loss covers new assistant texts only, so each is
+a target exactly once.
+
+Tokens of a turn are taken from a column, or are the UTF-8 bytes of its formatted text, which no byte-level tokenizer exceeds.
+
+The texts are sent once, to their conversation's task; prefix sums and windows are running frames there, which spill.
 """
 
 from __future__ import annotations
@@ -17,12 +22,12 @@ from barograph.llm import common as C
 OPEN, SHUT, END = "[INST]", "[/INST]", "</s>"
 #: Escapes, in the order in which they are applied; read back in reverse.
 ESCAPES = (("~", "~0"), (END, "~1"), (OPEN, "~2"), (SHUT, "~3"))
-BUDGET = 1024
-HISTORY = 256
+#: In tokens: without a column of them, in bytes.
+BUDGET = 4096
+HISTORY = 1024
 SYSTEM, TARGET = "system", "assistant"
-#: Tokens are counted as words and single marks; the template adds these.
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
-TURN_TOKENS = 3
+#: Tokens that the template adds to a turn whose text's tokens are given: three marks and the role.
+TURN_TOKENS = 4
 
 
 def escape(text: Column) -> Column:
@@ -37,59 +42,61 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
     """(conv_id, window, text, spans, repeated, n_tokens): spans (start, length in code points) hold the loss mask, and the
-    first `repeated` turns of a window stand in earlier windows too.
+    first `repeated` turns of a window stand in earlier windows too. `tokens` names a column with the tokens of each text
+    (null: 0); without it they are the bytes of the formatted turn.
 
     Null role and text count as empty, null conv_id is a conversation of its own, turns sort by turn (null first), then role
     and text, and repeated rows are turns of their own. A window exceeds the budget only where a single turn, with the
     system turn, does. An empty input gives an empty result; other columns are not used.
     """
-    half = max(1, budget // 2)
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    t = t.withColumn("_tag", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")))
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SHUT))
-    t = t.withColumns({"_head": F.length(head), "_body": F.length(escape(F.col("text"))), "_piece": F.concat(head, escape(F.col("text")), F.lit(END)), "_tokens": (F.regexp_count("text", F.lit(TOKEN)) + TURN_TOKENS).cast("long")})
-    w = Window.partitionBy("_tag").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    t = t.withColumns({"_seq": F.row_number().over(w), "_long": F.col("_tokens") > half})
-    w = Window.partitionBy("_tag").orderBy("_seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    given = [F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_given")] if tokens else []
+    t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), *given)
+    run = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far, earlier = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    t = t.withColumns({"_head": F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SHUT)), "_coded": escape(F.col("text"))})
+    size = F.col("_given") + TURN_TOKENS if tokens else F.octet_length("_head") + F.octet_length("_coded") + len(END)
+    t = t.withColumn("_tokens", size.cast("long"))
     t = t.withColumns({
-        "_part": F.sum((F.col("_long") | F.coalesce(F.lag("_long").over(w), F.lit(False))).cast("long")).over(w),
-        "_start": F.coalesce(F.sum("_tokens").over(before), F.lit(0)),
-        "_first_system": F.min(F.when(F.col("role") == SYSTEM, F.col("_seq"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_seq": F.row_number().over(run),
+        "_start": F.coalesce(F.sum("_tokens").over(earlier), F.lit(0)),
+        "_system": F.first(F.when(F.col("role") == SYSTEM, F.col("_tokens")), ignorenulls=True).over(whole),
     })
-    inside = Window.partitionBy("_tag", "_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_slot", F.floor(F.coalesce(F.sum("_tokens").over(inside), F.lit(0)) / half))
-    changed = (F.lag("_part").over(w) != F.col("_part")) | (F.lag("_slot").over(w) != F.col("_slot"))
-    t = t.withColumn("window", F.sum(F.coalesce(changed, F.lit(False)).cast("long")).over(w))
-    own = t.select("_tag", "window", F.lit(2).alias("_kind"), "_seq", "_piece", "_tokens", "_head", "_body", (F.col("role") == TARGET).alias("_loss"))
-
-    spans = t.groupBy("_tag", "window").agg(F.min("_start").alias("_at"), F.sum("_tokens").alias("_new"))
-    system = t.where(F.col("_seq") == F.col("_first_system")).select("_tag", F.col("window").alias("_from"), "_seq", "_piece", "_tokens", "_head", "_body")
-    spans = spans.join(system.select("_tag", "_from", F.col("_tokens").alias("_system")), "_tag", "left")
-    again = F.col("window") > F.col("_from")
-    room = F.lit(budget) - F.col("_new") - F.when(again, F.col("_system")).otherwise(F.lit(0))
-    spans = spans.withColumn("_room", F.least(F.lit(history), room))
-    # A turn lies in the history of a window that begins at most `history` tokens after the turn does, so in the same
-    # bucket of `history` tokens or the next: an equi-join, whatever the conversation's length.
-    buckets = spans.where(F.col("_room") > 0).withColumn("_bucket", F.explode(F.array(F.floor(F.col("_at") / history), F.floor(F.col("_at") / history) - 1)))
-    old = t.where(F.col("role") != SYSTEM).withColumn("_bucket", F.floor(F.col("_start") / history)).drop("window")
-    past = buckets.join(old, ["_tag", "_bucket"]).where((F.col("_start") + F.col("_tokens") <= F.col("_at")) & (F.col("_start") >= F.col("_at") - F.col("_room")))
-    past = past.select("_tag", "window", F.lit(1).alias("_kind"), "_seq", "_piece", "_tokens", "_head", "_body", F.lit(False).alias("_loss"))
-    kept = spans.where(again).select("_tag", "window").join(system, "_tag")
-    kept = kept.select("_tag", "window", F.lit(0).alias("_kind"), "_seq", "_piece", "_tokens", "_head", "_body", F.lit(False).alias("_loss"))
-
-    parts = own.unionByName(past).unionByName(kept)
-    grouped = parts.groupBy("_tag", "window").agg(F.array_sort(F.collect_list(F.struct("_kind", "_seq", "_piece", "_head", "_body", "_loss"))).alias("_parts"), F.sum("_tokens").alias("n_tokens"))
-    span = "named_struct('start', a.at + p._head, 'length', p._body)"
-    folded = f"aggregate(_parts, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>)), (a, p) -> named_struct('at', a.at + length(p._piece), 'spans', if(p._loss, array_append(a.spans, {span}), a.spans)))"
-    number = F.when(F.col("_tag") != "-", F.col("_tag").cast(turns.schema["conv_id"].dataType))
-    return grouped.select(
-        number.alias("conv_id"), "window", F.array_join(F.transform("_parts", lambda p: p["_piece"]), "").alias("text"),
-        F.expr(f"{folded}.spans").alias("spans"), F.size(F.filter("_parts", lambda p: p["_kind"] < 2)).alias("repeated"), "n_tokens",
+    t = t.withColumn("_half", F.greatest(F.lit(1), F.floor((F.lit(budget) - F.coalesce("_system", F.lit(0))) / 2)).cast("long"))
+    t = t.withColumn("_long", F.col("_tokens") > F.col("_half"))
+    t = t.withColumn("_cut", F.col("_long") | F.coalesce(F.lag("_long").over(run), F.lit(False)))  # a part begins
+    t = t.withColumn("_from", F.max(F.when(F.col("_cut") | (F.col("_seq") == 1), F.col("_start"))).over(so_far))
+    t = t.withColumn("_slot", F.floor((F.col("_start") - F.col("_from")) / F.col("_half")))
+    begins = (F.col("_seq") > 1) & (F.col("_cut") | (F.lag("_slot").over(run) != F.col("_slot")))
+    t = t.withColumn("window", F.sum(begins.cast("long")).over(so_far))
+    turn = F.struct(
+        "_seq", "_start", "_tokens", F.concat("_head", "_coded", F.lit(END)).alias("_piece"), F.length("_head").alias("_head"), F.length("_coded").alias("_body"),
+        (F.col("role") == TARGET).alias("_loss"), (F.col("role") == SYSTEM).alias("_is_system"),
     )
+    x = t.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("_own"), F.min("_start").alias("_at"), F.sum("_tokens").alias("_new"), F.min("_half").alias("_half"))
+
+    # A window and the next hold more than half together, so history, which is at most half, lies in the two windows before.
+    run = Window.partitionBy("conv_id").orderBy("window")
+    first = F.element_at(F.filter("_own", lambda p: p["_is_system"]), 1)
+    none = F.filter("_own", lambda p: F.lit(False))
+    x = x.withColumn("_first", F.when(F.exists("_own", lambda p: p["_is_system"]), first))
+    x = x.withColumns({
+        "_again": F.first("_first", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)),
+        "_past": F.concat(F.coalesce(F.lag("_own", 2).over(run), none), F.coalesce(F.lag("_own", 1).over(run), none)),
+    })
+    x = x.withColumn("_room", F.least(F.lit(history), F.col("_half"), F.lit(budget) - F.col("_new") - F.coalesce(F.col("_again")["_tokens"], F.lit(0))))
+    kept = F.filter("_past", lambda p: (p["_start"] >= F.col("_at") - F.col("_room")) & ~p["_is_system"])
+    x = x.withColumn("_old", F.concat(F.when(F.col("_again").isNotNull(), F.array("_again")).otherwise(none), kept))
+    joined = lambda parts: F.array_join(F.transform(parts, lambda p: p["_piece"]), "")
+    x = x.withColumn("_before", joined("_old"))
+    span = "named_struct('start', a.at + p._head, 'length', p._body)"
+    folded = f"aggregate(_own, named_struct('at', length(_before), 'spans', cast(array() as array<struct<start:int,length:int>>)), (a, p) -> named_struct('at', a.at + length(p._piece), 'spans', if(p._loss, array_append(a.spans, {span}), a.spans)))"
+    total = F.aggregate("_old", F.col("_new"), lambda n, p: n + p["_tokens"])
+    return x.select("conv_id", "window", F.concat("_before", joined("_own")).alias("text"), F.expr(f"{folded}.spans").alias("spans"), F.size("_old").alias("repeated"), total.alias("n_tokens"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -119,6 +126,10 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.sql(f"select cast(-1 as bigint) as conv_id, cast(t.turn as bigint) as turn, t.role, '{PROBE}' as text from values (0, 'user'), (1, 'assistant') as t(turn, role)")
-    return digest(format_windows(turns.unionByName(probe)))
+    """Conversations go by a key that tells the probe from a stored conversation -1: both are formatted, each as its own."""
+    key = F.concat(F.lit("c"), F.col("conv_id").cast("long").cast("string")).alias("conv_id")
+    turns = C.table(spark, sf_dir, "conversations").select(key, F.col("turn").cast("long"), "role", "text")
+    probe = spark.sql(f"select 'probe' as conv_id, cast(t.turn as bigint) as turn, t.role, '{PROBE}' as text from values (0, 'user'), (1, 'assistant') as t(turn, role)")
+    done = digest(format_windows(turns.unionByName(probe)))
+    number = F.when(F.col("conv_id") == "probe", F.lit(-1)).otherwise(F.substring("conv_id", 2, 30).cast("long")).cast("long")
+    return done.withColumn("conv_id", number)

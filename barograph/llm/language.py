@@ -2,7 +2,8 @@
 
 Per-language n-gram tables are learned from labelled documents (all of them, in one pass). Each word of a text has a likelihood
 under each language from its n-grams; expectation-maximisation estimates the proportions of languages in the document, and the
-set of languages is the one of best penalised likelihood.
+set of languages is selected by penalised likelihood: from the best single language on, the language that gains most is added
+for as long as the gain exceeds the penalty. Sets have no largest size.
 """
 
 from __future__ import annotations
@@ -26,9 +27,7 @@ SMOOTHING = 0.05
 OVERLAP = 2.0
 #: Penalty for each further language, in units of half the logarithm of the number of words.
 PENALTY = 3.0
-#: Languages that one document's set can hold at most.
-MOST_LANGUAGES = 4
-EM_STEPS = 8
+EM_STEPS = 16
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -129,6 +128,61 @@ def mixtures(likely: np.ndarray, first: np.ndarray, allowed: np.ndarray, steps:
     return last, total
 
 
+def select_languages(logs: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Proportions by document of the language set of best penalised likelihood, by forward selection.
+
+    `logs` are log-likelihoods of words less the best language's, documents begin at the words `begin`. A mixture's likelihood
+    is at most that of each word's best language in the set: where this bound gains nothing, no mixture is estimated.
+    """
+    k = logs.shape[1]
+    words = np.diff(np.append(begin, len(logs)))
+    price = PENALTY * 0.5 * np.log(words + 1)  # of each further language
+    likely = np.exp(logs)
+    single = np.add.reduceat(logs, begin, axis=0)
+    first = single.argmax(axis=1)
+    value, chosen = single[np.arange(len(begin)), first], np.eye(k)[first]
+    member = chosen > 0
+    ceiling = logs[np.arange(len(logs)), np.repeat(first, words)]  # each word's best language in the set
+    active = np.flatnonzero(value + price < 0)
+    size = 1
+    while len(active) and size < k:
+        of, at, starts = words_of(active, begin, words)
+        top = ceiling[at]
+        gains = np.full((len(active), k), -np.inf)
+        for m in range(k):
+            bound = np.add.reduceat(np.maximum(top, logs[at, m]), starts)
+            gains[:, m] = np.where(member[active, m], -np.inf, bound - size * price[active])
+        doc, added = np.nonzero(gains > value[active][:, None])
+        if not len(doc):
+            break
+        total, share = np.full((len(active), k), -np.inf), np.zeros((len(active), k, k))
+        for m in np.unique(added).tolist():
+            mine = doc[added == m]
+            _, inside, cut = words_of(active[mine], begin, words)
+            allowed = member[active[mine]].astype(float)
+            allowed[:, m] = 1.0
+            share[mine, m], total[mine, m] = mixtures(likely[inside], cut, allowed)
+            total[mine, m] -= size * price[active[mine]]
+        best = total.argmax(axis=1)
+        better = total[np.arange(len(active)), best] > value[active]
+        rows, best = np.flatnonzero(better), best[better]
+        kept = active[rows]
+        value[kept], chosen[kept], member[kept, best] = total[rows, best], share[rows, best], True
+        of, at, _ = words_of(kept, begin, words)
+        ceiling[at] = np.maximum(ceiling[at], logs[at, best[of]])
+        active = kept
+        size += 1
+    return chosen
+
+
+def words_of(docs: np.ndarray, begin: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the document, place of the word) of all words of some documents, and where each document's begin among them."""
+    n = words[docs]
+    starts = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(docs)), n)
+    return of, np.arange(int(n.sum())) - starts[of] + begin[docs][of], starts
+
+
 def languages_of(model: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language number or -1, proportions) of every row; -1 where there are no words of letters."""
     n, k = len(offs) - 1, model.shape[1]
@@ -136,18 +190,9 @@ def languages_of(model: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[
     three, four, first, row = grams(buf, offs)
     if not len(first) or not k:
         return best, shares
-    likely = np.exp(word_likelihoods(model, three, four, first).astype(np.float64))
     begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    rows, words = row[begin], np.diff(np.append(begin, len(row)))
-    full, _ = mixtures(likely, begin, np.ones((len(begin), k)))
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-    value, chosen = np.full(len(begin), -np.inf), np.zeros((len(begin), k))
-    for size in range(1, min(k, MOST_LANGUAGES) + 1):
-        share, total = mixtures(likely, begin, (rank < size).astype(float), EM_STEPS if size > 1 else 0)
-        total = total - PENALTY * (size - 1) * 0.5 * np.log(words + 1)
-        better = total > value
-        value, chosen = np.where(better, total, value), np.where(better[:, None], share, chosen)
-    best[rows], shares[rows] = chosen.argmax(axis=1), chosen
+    chosen = select_languages(word_likelihoods(model, three, four, first).astype(np.float64), begin)
+    best[row[begin]], shares[row[begin]] = chosen.argmax(axis=1), chosen
     return best, shares
 
 
@@ -195,4 +240,5 @@ def fold_of(doc_id: Column) -> Column:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"))
     names, model = learn(docs.where(~F.col("held_out")))
-    return identify(docs.select("doc_id", "held_out", "text"), names, model).select("doc_id", "held_out", "lang_pred", "score")
+    found = identify(docs.select("doc_id", "held_out", "text"), names, model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join(F.col("lang_set")["lang"], ",").alias("lang_set"))

@@ -1,9 +1,13 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
-Candidates are dealt into shards. In a shard, postings (row, dimension, value) are put into segments by the quantised impact |value|,
-largest first. All queries of a batch add up one segment after the other; what the segments still to come can add to a
-score is at most the query's norm times the norm of the row's values in them. A query stops only on proof that the rows
-still possible are few: those whose upper bound reaches the k-th best lower bound. These are rescored exactly.
+Candidates are dealt into shards. In a shard, postings (row, dimension, value) are put into segments by their quantised impact
+|value|, largest first. A sparse segment holds posting lists by dimension, which are added up by row; one that holds a good
+part of all (row, dimension) places holds them as one block, which is added up by one product. All queries of a batch add
+up one segment after the other; what the segments still to come can add to a score is at most the query's norm times the
+norm of the row's values in them. A query stops only on proof that the rows still possible are few: those whose upper bound
+reaches the k-th best lower bound. These are rescored exactly, in integers.
+
+Sums are kept in single precision, with the rounding in the bounds, so that a shard costs less than its exact scores would.
 """
 
 from __future__ import annotations
@@ -21,68 +25,142 @@ from barograph.llm.vectors import list_matrix, usable
 
 #: Rows of a shard, about.
 SHARD = 8192
-SEGMENTS = 4
+#: Shares of all postings that the segments end at, in the order of impact.
+SHARES = (0.02, 0.75, 1.0)
 #: Impact levels that values are quantised to.
-LEVELS = 64
+LEVELS = 256
+#: A segment that fills at least this share of all places is held as a block.
+FULL = 0.1
+#: Proofs are tried once the segments to come hold at most this share of the squared norms.
+PROVE = 0.1
 BATCH = 256
 #: A query stops when at most this share of the shard is still possible (or `k` rows).
 POSSIBLE = 0.02
 SCALE = 256.0
+#: Values below this are split into two limbs for exact sums in longs; greater ones are summed as Python integers.
+LIMB = 1 << 26
+
+
+class Postings:
+    """The postings of one segment: lists by dimension, or one block."""
+
+    def __init__(self, values: np.ndarray, chosen: np.ndarray):
+        rows, dims = values.shape
+        self.block = None
+        if chosen.sum() >= FULL * rows * dims:
+            self.block = np.where(chosen, values, np.float32(0))
+            return
+        dim, row = np.nonzero(chosen.T)
+        ends = np.searchsorted(dim, np.arange(dims + 1)).tolist()
+        self.lists = [(d, row[lo:hi], values[row[lo:hi], d, None]) for d, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if hi > lo]
+
+    def add(self, score: np.ndarray, queries: np.ndarray) -> None:
+        """Adds the segment to score (row, query) for queries (dimension, query)."""
+        if self.block is not None:
+            score += self.block @ queries
+            return
+        for dim, rows, values in self.lists:
+            score[rows] += values * queries[dim]
 
 
 class Shard:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
         size = np.abs(values)
-        top = max(float(size.max(initial=0)), 1.0)
-        level = np.minimum((size / top * LEVELS).astype(np.int64), LEVELS - 1)
+        self.top = max(float(size.max(initial=0)), 1.0)
+        small = values / self.top
+        self.norm = np.sqrt((small * small).sum(axis=1))
+        level = np.minimum((size / self.top * LEVELS).astype(np.int64), LEVELS - 1)
         mass = np.cumsum(np.bincount(level.ravel(), minlength=LEVELS)[::-1])[::-1]  # postings at this level or above
         edges = [LEVELS]
-        for share in np.linspace(0, 1, SEGMENTS + 1)[1:-1] * mass[0]:
-            edges.append(min(int(np.searchsorted(-mass, -share, "right")), edges[-1]))
+        for share in SHARES[:-1]:
+            edges.append(min(int(np.searchsorted(-mass, -share * mass[0], "right")), edges[-1]))
         edges.append(0)
-        self.segments, self.rest = [], []
+        self.segments: list[tuple[Postings, np.ndarray]] = []
         for high, low in zip(edges[:-1], edges[1:], strict=True):
             if high > low:
-                self.segments.append(np.where((level >= low) & (level < high), values, 0.0))
-                rest = np.where(level < low, values, 0.0)
-                self.rest.append(np.sqrt((rest * rest).sum(axis=1)))
-        self.top = top
+                rest = np.where(level < low, small, 0.0)
+                self.segments.append((Postings(small.astype(np.float32), (level >= low) & (level < high)), np.sqrt((rest * rest).sum(axis=1))))
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, row number, score) of the k best rows of each query, its own row left out; ties to smaller ids."""
-        own = query_ids[:, None] == self.ids
-        rows = len(self.ids)
-        keep = min(k, rows)
-        if self.top * max(float(np.abs(queries).max(initial=0)), 1.0) * queries.shape[1] >= 2**52:
-            scores = np.array([[sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in self.values] for q in queries], object)
-            found = [(q, r, max(min(int(scores[q, r]), 2**63 - 1), -(2**63))) for q in range(len(queries)) for r in sorted((r for r in range(rows) if not own[q, r]), key=lambda r: (-scores[q, r], self.ids[r]))[:k]]  # noqa: B023
-            return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        norm = np.sqrt((queries * queries).sum(axis=1))
+        rows, dims = self.values.shape
+        largest = np.maximum(np.abs(queries).max(axis=1, initial=0, keepdims=True), 1.0)
+        small = queries / largest
+        norm = np.sqrt((small * small).sum(axis=1)).astype(np.float32) * np.float32(1 + 1e-6)
+        small = np.ascontiguousarray(small.T.astype(np.float32))
+        every = (self.norm * self.norm).sum()
+        rounding = (2 * dims + 8) * 2.0**-23 * self.norm  # of sums in single precision, by the query's norm
+        by_id = np.argsort(self.ids, kind="stable")
+        place = by_id[np.minimum(np.searchsorted(self.ids[by_id], query_ids), rows - 1)]
+        has_own = self.ids[place] == query_ids
         active = np.arange(len(queries))
-        score = np.zeros((len(queries), rows))
+        score = np.zeros((rows, len(queries)), np.float32)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for n, (segment, rest) in enumerate(zip(self.segments, self.rest, strict=True)):
-            score[active] += queries[active] @ segment.T
-            now, slack = score[active], norm[active][:, None] * rest * (1 + 1e-9)
-            low = np.where(own[active], -np.inf, now - slack)
-            bar = -np.partition(-low, keep - 1, axis=1)[:, keep - 1]
-            possible = (now + slack >= bar[:, None]) & ~own[active]
-            stop = possible.sum(axis=1) <= max(k, POSSIBLE * rows)
-            if n == len(self.segments) - 1:
+        for n, (segment, rest) in enumerate(self.segments):
+            last = n == len(self.segments) - 1
+            segment.add(score, small[:, active])
+            if not last and (rest * rest).sum() > PROVE * every:
+                continue
+            score[place[active[has_own[active]]], np.flatnonzero(has_own[active])] = -np.inf
+            slack = (rest * (1 + 1e-6) + rounding).astype(np.float32)[:, None] * norm[active] + np.float32(1e-37)
+            low = score - slack
+            np.add(score, slack, out=slack)  # now the upper bounds
+            possible = slack >= kth_best(low, k)
+            possible[place[active[has_own[active]]], np.flatnonzero(has_own[active])] = False
+            stop = possible.sum(axis=0) <= max(k, POSSIBLE * rows)
+            if last:
                 stop[:] = True
-            q, r = np.nonzero(possible & stop[:, None])
-            out.append((active[q], r))
-            active = active[~stop]
+            r, q = np.divmod(np.flatnonzero(possible), len(active))
+            done = stop[q]
+            out.append((active[q[done]], r[done]))
+            active, score = active[~stop], score[:, ~stop]
             if not len(active):
                 break
         q, r = (np.concatenate(x) for x in zip(*out, strict=True))
-        exact = np.einsum("ij,ij->i", queries[q], self.values[r]).astype(np.int64)
-        order = np.lexsort((self.ids[r], -exact, q))
-        q, r, exact = q[order], r[order], exact[order]
+        high, low, found = exact_products(queries, self.values, q, r)
+        order = np.lexsort((self.ids[r], -low, -high, q))
+        q, r = q[order], r[order]
         begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
-        return q[place < k], r[place < k], exact[place < k]
+        first = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q)))) < k
+        return q[first], r[first], found[order][first]
+
+
+def kth_best(low: np.ndarray, k: int) -> np.ndarray:
+    """A bound that k rows of each column of `low` reach: the k-th greatest of the greatest in each of many parts of the rows."""
+    rows = len(low)
+    if rows <= k:
+        return np.full(low.shape[1], -np.inf, np.float32)
+    parts = max(k, min(rows // 8, 16 * k))
+    each = rows // parts
+    tops = low[: each * parts].reshape(each, parts, -1).max(axis=0)
+    return np.partition(tops, parts - k, axis=0)[parts - k]
+
+
+def exact_products(queries: np.ndarray, values: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact inner products of queries[q] and values[r], integers held as doubles, as (high, low, score): they sort by high, then
+    low, and score is the product cut to the range of longs."""
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    largest, dims = max(float(np.abs(queries).max(initial=0)), float(np.abs(values).max(initial=0))), queries.shape[1]
+    if largest >= LIMB * LIMB or (dims >= 1 << 9 and largest * largest * dims >= 2.0**62):  # beyond what longs can sum
+        wide = [sum(int(a) * int(b) for a, b in zip(queries[i], values[j], strict=True)) for i, j in zip(q.tolist(), r.tolist(), strict=True)]
+        rank = {w: n for n, w in enumerate(sorted(set(wide)))}
+        return np.array([rank[w] for w in wide], np.int64), np.zeros(len(wide), np.int64), np.array([max(least, min(most, w)) for w in wide], np.int64)
+    high, low, score = (np.zeros(len(q), np.int64) for _ in range(3))
+    for at in range(0, len(q), 20_000):
+        s = slice(at, at + 20_000)
+        a, b = queries[q[s]].astype(np.int64), values[r[s]].astype(np.int64)
+        if largest * largest * dims < 2.0**62:
+            high[s] = score[s] = (a * b).sum(axis=1)
+            continue
+        (a1, a0), (b1, b0) = np.divmod(a, LIMB), np.divmod(b, LIMB)
+        middle = (a0 * b1).sum(axis=1) + (a1 * b0).sum(axis=1)
+        units = (a0 * b0).sum(axis=1)
+        middle += units // LIMB
+        high[s], low[s] = (a1 * b1).sum(axis=1) + middle // LIMB, (middle % LIMB) * LIMB + units % LIMB
+        cut = np.clip(high[s], -(1 << 11), (1 << 11) - 1) * (1 << 52) + low[s]
+        score[s] = np.where(high[s] >= 1 << 11, most, np.where(high[s] < -(1 << 11), least, cut))
+    return high, low, score
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -92,7 +170,7 @@ def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
         for batch in batches:
             column = batch.column("embedding")
             good = usable(column) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
-            length = np.array([len(v) if v is not None else 0 for v in column.to_pylist()]) if batch.num_rows else np.zeros(0, int)
+            length = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
             for width in np.unique(length[good]).tolist():
                 rows = np.flatnonzero(good & (length == width))
                 x = np.floor(scale * list_matrix(column, rows, width))

@@ -48,3 +48,34 @@ def test_large_values_and_empty(spark):
     big = 2**63 - 1
     assert [(q, n, i, max(min(s, big), -big - 1)) for q, n, i, s in plain(rows, 5, 5)] == got
     assert T.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_exact_products_of_any_size():
+    rng = np.random.default_rng(5)
+    for dims, size in ((8, 100.0), (8, 2.0**40), (40, 2.0**51), (600, 2.0**30), (600, 1000.0), (4, 2.0**80)):
+        a, b = (np.floor(rng.standard_normal((6, dims)) * size / 8) for _ in range(2))
+        q, r = (x.ravel() for x in np.indices((6, 6)))
+        high, low, score = T.exact_products(a, b, q, r)
+        want = [sum(int(x) * int(y) for x, y in zip(a[i], b[j])) for i, j in zip(q, r)]
+        assert score.tolist() == [max(-(2**63), min(2**63 - 1, w)) for w in want]
+        assert sorted(range(36), key=lambda i: (high[i], low[i])) == sorted(range(36), key=lambda i: want[i])
+
+
+def test_sparse_and_dense_segments_add_up():
+    rng = np.random.default_rng(6)
+    values = rng.standard_normal((50, 6)).astype(np.float32)
+    queries = rng.standard_normal((6, 7)).astype(np.float32)
+    for share in (0.02, 0.5):
+        chosen = rng.random((50, 6)) < share
+        score = np.zeros((50, 7), np.float32)
+        segment = T.Postings(values, chosen)
+        assert (segment.block is None) == (chosen.sum() < T.FULL * 300)
+        segment.add(score, queries)
+        assert np.allclose(score, np.where(chosen, values, 0) @ queries, atol=1e-5)
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(1500)]) for i in range(40)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 5).collect())
+    assert got == plain(rows, 5, 5)

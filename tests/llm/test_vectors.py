@@ -66,3 +66,33 @@ def test_repeated_ids(spark):
     got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 0, 7)]
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_a_pair_at_the_edge_of_a_block_counts_once(spark):
+    """Pairs whose block gap lies just over, at and under the block's share of the budget."""
+    width, cosine = 64, 0.93
+    share = (2 - 2 * cosine) / V.BLOCKS
+    rows, turn = [], V.rotation(width)
+    for n, over in enumerate((-1e-9, 0.0, 5e-10, 1e-9, 1e-6, 1e-3)):
+        x = np.zeros(width)
+        x[-1] = 1.0
+        y = x.copy()
+        y[0] += math.sqrt(share + over)
+        y[20] += 0.05
+        rows += [(2 * n, (x @ turn.T).tolist(), n), (2 * n + 1, (y @ turn.T).tolist(), n)]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cosine).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == plain(rows, cosine)
+    assert {r.n_links for r in got} == {1}
+
+
+def test_dense_groups_and_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(V, "CHUNK", 50)
+    monkeypatch.setattr(V, "BATCH", 16)
+    monkeypatch.setattr(V, "SAMPLE", 64)
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(64)
+    rows = [(i, (centre + rng.standard_normal(64) * 0.2).tolist(), 1) for i in range(300)]
+    rows += [(1000 + i, rng.standard_normal(1024).tolist(), 1) for i in range(20)]
+    rows += [(2000 + i, (np.array(rows[300 + i][1]) * (1 + 0.01 * i)).tolist(), 1) for i in range(20)]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == plain(rows, 0.93)
