@@ -154,9 +154,10 @@ select ticker, strftime(case when lft < first then first_ts else lft end, '%Y-%m
 
 
 WEEKLY = BARS + f""",
-wk0 as (select *, date_trunc('week', session_date)::date as week from bars where {TO_UTC.format("session_date::timestamp + interval 16 hours")} <= timestamp '1998-10-15 12:00:00'),
+req as (select {TO_UTC.format("min(session_date)::timestamp")} as q0, {TO_UTC.format("max(session_date)::timestamp + interval 16 hours")} as q1 from bars),
+wk0 as (select *, date_trunc('week', session_date)::date as week from bars, req where {TO_UTC.format("session_date::timestamp + interval 16 hours")} <= q1),
 wk as (select ticker, week, min(ts) as ts, arg_min(o, i) as o, max(h) as h, min(l) as l, arg_max(c, i) as c, sum(v) as v, {TO_UTC.format("max(session_date)::timestamp + interval 16 hours")} as closed,
-  timestamp '1992-01-08' <= {TO_UTC.format("week::timestamp")} and timestamp '1998-10-15 12:00:00' >= {TO_UTC.format("week::timestamp + interval 4 days + interval 16 hours")} as complete from wk0 group by ticker, week)
+  any_value(q0) <= {TO_UTC.format("week::timestamp")} and any_value(q1) >= {TO_UTC.format("week::timestamp + interval 4 days + interval 16 hours")} as complete from wk0 group by ticker, week)
 """
 CLOSE = f"cl as (select *, {TO_UTC.format('session_date::timestamp + interval 16 hours')} as ct from bars)"
 VIX = f"""
@@ -212,7 +213,7 @@ SQL = {
     "max_drawdown": f"with {BARS}, p as (select a.ticker, a.i, b.c, b.i as j, max(b.c) over (partition by a.ticker, a.i order by b.i) as peak from bars a join bars b on b.ticker = a.ticker and b.i between a.i - 59 and a.i), q as (select ticker, i, min(c / peak - 1) as d from p group by all) select ticker, i as bar_index, case when i >= 59 then round(d, 9) end as rolling_max_drawdown_60 from q",
     "diagnostics": f"with {RET}, d as (select ticker, i, r - avg(r) over (partition by ticker) as d from ret where r is not null), l as (select *, {', '.join(f'lag(d, {k}) over (partition by ticker order by i) as l{k}' for k in range(1, 11))} from d), g as (select ticker, count(*) as n, sum(d * d) as v, avg(d * d * d) / pow(avg(d * d), 1.5) as s, avg(d * d * d * d) / pow(avg(d * d), 2) - 3 as k, {', '.join(f'sum(d * l{k}) as c{k}' for k in range(1, 11))} from l group by ticker) select ticker, n as nobs, round(n / 6 * (s * s + k * k / 4), 4) as jarque_bera, round(n * (n + 2) * ({' + '.join(f'(c{k} / v) * (c{k} / v) / (n - {k})' for k in range(1, 11))}), 4) as ljung_box from g",
     "acceleration": bars_query("ticker, i as bar_index, round(slope, 6) as slope, round(sc, 6) as slope_change, round(sc / 5, 6) as acceleration, round(dist, 6) as distance_to_mean, round(z, 6) as price_zscore, round(cum, 6) as cumulative_log_return, round(rv, 6) as relative_volume, round(ax, 6) as atr_expansion", "acc", ACC),
-    "acceleration_states": bars_query("ticker, state as acceleration_state, count(*) as bars, count(*) filter (exhausted) as exhausted", "acc", ACC, "group by all"),
+    "acceleration_states": bars_query("ticker, i as bar_index, state as acceleration_state, exhausted as exhaustion_candidate", "acc", ACC),
     "compression": bars_query(f"ticker, i as bar_index, {', '.join(f'round({p}, 6) as {p}' for p in PARTS)}, vc as volatility_compression, ve as volatility_expansion, dur as compression_duration", "comp", COMP),
     "relative_strength": f"with {BARS}, j as (select b.*, a.c as bc, b.c / a.c as q from bars b left join (select session_date, c from bars where ticker = 'AMERICA') a using (session_date)) select ticker, i as bar_index, {', '.join(f'round((c / {LAG("c", k)} - 1) - (bc / {LAG("bc", k)} - 1), 6) as relative_return_{k}' for k in (5, 20, 60))}, round(q, 6) as price_benchmark_ratio, round((ln(q) - ln({LAG('q', 20)})) / 20, 6) as ratio_slope, round((q - {full('avg(q)', 'q', 20)}) / nullif({full('stddev_samp(q)', 'q', 20)}, 0), 6) as ratio_zscore, bc is not null as benchmark_available from j",
     "asset_liquidity": bars_query(f"ticker, i as bar_index, round(c * v, 6) as dollar_volume, round(v / nullif({before('avg(v)', 'v', 20, 20)}, 0), 6) as relative_volume, round(v / 1e6, 6) as turnover, round(abs(r) / nullif(v, 0), 6) as volatility_per_volume, round(o / {LAG('c')} - 1, 6) as overnight_gap", "ret", RET),
@@ -223,7 +224,7 @@ x as (select *, {', '.join(f"case when count(c) over (partition by ticker order
 g as (select session_date, count(c) as n, {', '.join(f'count(*) filter (s{k} is not null and c is not null) as n{k}, count(*) filter (c > s{k}) as a{k}' for k in (20, 50, 200))}, count(*) filter (c > pc) as adv, count(*) filter (c < pc) as dec, count(top) as nt, count(bot) as nb, count(*) filter (c > top) as hi, count(*) filter (c < bot) as lo from x group by session_date)
 select session_date::varchar as day, n as members_available, {', '.join(f'case when n{k} >= 3 then round(a{k} / n{k}, 6) end as breadth_sma{k}' for k in (20, 50, 200))}, case when n >= 3 then adv end as advances, case when n >= 3 then dec end as declines, case when n >= 3 then round(adv / nullif(dec, 0), 6) end as advance_decline_ratio, case when nt >= 3 then hi end as new_highs_252d, case when nb >= 3 then lo end as new_lows_252d from g""",
     "rv_percentile": f"with {HAR}, p as (select a.ticker, a.i, a.rv, count(*) filter (b.rv < a.rv and b.i < a.i) as n, count(b.rv) as have from har a left join har b on b.ticker = a.ticker and b.i between a.i - 251 and a.i group by all) select ticker, i as bar_index, case when rv is not null and have >= 60 then round(n / least(i, 251), 6) end as rv20_percentile from p",
-    "recent_flags": f"with {COMP}, {'ac1 as (select ticker, i, ln(c) - ln(' + LAG('c', 20) + ') as cum from bars), ac2 as (select *, cum / 20 as slope from ac1), ac3 as (select *, slope - ' + LAG('slope', 5) + ' as sc from ac2)'}, j as (select c.ticker, c.i, c.vc, slope > 0 and sc > 0 as up, slope < 0 and sc < 0 as dn from comp c join ac3 using (ticker, i)), f as (select ticker, max(coalesce(up, false)::int) over (partition by ticker order by i rows between 9 preceding and current row) as u, max(coalesce(dn, false)::int) over (partition by ticker order by i rows between 9 preceding and current row) as d, coalesce(max(vc::int) over (partition by ticker order by i rows between 20 preceding and 1 preceding), 0) as k from j) select ticker, count(*) filter (u = 1) as accel_up_recent, count(*) filter (d = 1) as accel_down_recent, count(*) filter (k = 1) as compression_recent from f group by ticker",
+    "recent_flags": f"with {COMP}, {'ac1 as (select ticker, i, ln(c) - ln(' + LAG('c', 20) + ') as cum from bars), ac2 as (select *, cum / 20 as slope from ac1), ac3 as (select *, slope - ' + LAG('slope', 5) + ' as sc from ac2)'}, j as (select c.ticker, c.i, c.vc, slope > 0 and sc > 0 as up, slope < 0 and sc < 0 as dn from comp c join ac3 using (ticker, i)), f as (select ticker, i, max(coalesce(up, false)::int) over (partition by ticker order by i rows between 9 preceding and current row) as u, max(coalesce(dn, false)::int) over (partition by ticker order by i rows between 9 preceding and current row) as d, coalesce(max(vc::int) over (partition by ticker order by i rows between 20 preceding and 1 preceding), 0) as k from j) select ticker, i as bar_index, u = 1 as accel_up_recent, d = 1 as accel_down_recent, k = 1 as compression_recent from f",
     "har": bars_query("ticker, i as bar_index, round(rv, 9) as har_daily, round(w5, 9) as har_weekly, round(m22, 9) as har_monthly", "har", HAR),
     "swings": bars_query("ticker, type, i as bar_index, ci as confirmation_index, price as price_level", "swings", SWINGS),
     "swing_labels": bars_query("ticker, type, i as bar_index, label as structure_label", "labels", SWINGS),
@@ -242,18 +243,18 @@ select ticker, i as bar_index, coalesce(eb.s, 'inactive') as breakout_state, cas
     "gap_counts": bars_query("ticker, count(*) as gaps_detected, count(*) filter (size_pct >= 0.005 and size_atr >= 0.5) as gaps_kept, count(*) - count(*) filter (size_pct >= 0.005 and size_atr >= 0.5) as gaps_discarded", "gaps", GAPS, "where state = 'unfilled_gap' group by ticker"),
     "check_bars": bars_query("ticker, count(*) as bars, count(*) filter (o is null or h is null or l is null or c is null or v is null) as null_rows, 0 as duplicate_timestamps, 0 as out_of_order, count(*) filter (h < greatest(o, c, l)) as high_too_low, count(*) filter (l > least(o, c, h)) as low_too_high, count(*) filter (v < 0) as negative_volume", tail="group by ticker"),
     "check_feature_input": bars_query("ticker, count(*) filter (c is null or c <= 0) as bad_close, 0 as bad_timestamp", tail="group by ticker"),
-    "range_filter": bars_query("ticker, count(*) as bars, sum(v) as volume", tail="where ts >= timestamp '1995-01-01' and ts < timestamp '1996-01-01' group by ticker"),
+    "range_filter": bars_query("ticker, i as bar_index, o as open, h as high, l as low, c as close, v as volume", tail="where ts >= timestamp '1995-01-01' and ts < timestamp '1996-01-01'"),
     "session_bars": f"with {ticks(15)} select ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, round(o, 4) as open, round(h, 4) as high, round(l, 4) as low, round(c, 4) as close, round(v, 4) as volume from nb where hour(ny) * 60 + minute(ny) between 570 and 959",
     "tick_bars": f"with {ticks(60)} select ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, round(o, 4) as open, round(h, 4) as high, round(l, 4) as low, round(c, 4) as close, round(v, 4) as volume from nb",
     "intraday_4h": blocks("regular", 4),
     "intraday_1h": blocks("regular", 1),
     "intraday_extended_4h": blocks("extended", 4),
     "weekly": bars_query("ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, strftime(closed, '%Y-%m-%d %H:%M') as closed, round(o, 4) as open, round(h, 4) as high, round(l, 4) as low, round(c, 4) as close, round(v, 4) as volume, complete as is_complete", "wk", WEEKLY),
-    "complete_weeks": bars_query("ticker, count(*) as weeks", "wk", WEEKLY, "where complete group by ticker"),
+    "complete_weeks": bars_query("ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, round(c, 4) as close", "wk", WEEKLY, "where complete"),
     "check_normalized": bars_query("ticker, count(*) filter (ts < timestamp '1992-01-01' or ts >= timestamp '1998-01-01') as outside_window, 0 as outside_session, 0 as bad_provenance, count(*) filter (closed > timestamp '1998-01-01') as unclosed_source, 0 as missing_flag", "wk", WEEKLY, "group by ticker"),
     "check_aggregates": f"with {WEEKLY}, a as (select distinct ticker, date_trunc('week', session_date)::date as week from bars), f as (select ticker, date_trunc('week', session_date)::date as week, arg_min(o, i) as o, max(h) as h, min(l) as l, arg_max(c, i) as c, sum(v) as v from bars group by all) select count(*) filter (f.ticker is null) as only_coarse, count(*) filter (wk.ticker is null) as only_fine, count(*) filter (abs(wk.o - f.o) > 1e-8 or abs(wk.h - f.h) > 1e-8 or abs(wk.l - f.l) > 1e-8 or abs(wk.c - f.c) > 1e-8 or abs(wk.v - f.v) > 1e-8) as different, count(*) filter (wk.ticker is not null and f.ticker is not null) as matched from wk full join f on wk.ticker = f.ticker and wk.week = f.week",
     "close_times": f"with {BARS}, {ticks(60).strip()} select ticker, '1Day' as kind, strftime(ts, '%Y-%m-%d %H:%M') as at, strftime({TO_UTC.format('session_date::timestamp + interval 16 hours')}, '%Y-%m-%d %H:%M') as closes from bars union all select ticker, '1Hour', strftime(ts, '%Y-%m-%d %H:%M'), strftime(least(ts + interval 1 hour, {TO_UTC.format('ny::date::timestamp + interval 16 hours')}), '%Y-%m-%d %H:%M') from nb",
-    "truncate": f"with {BARS}, {CLOSE} select ticker, max(i) as last_index, count(*) as bars from cl where ct <= timestamp '1996-03-15 21:00:00' group by ticker",
+    "truncate": f"with {BARS}, {CLOSE} select ticker, i as bar_index, c as close from cl where ct <= timestamp '1996-03-15 21:00:00'",
     "asof_timeframe": f"with {WEEKLY}, {CLOSE} select cl.ticker, cl.i as bar_index, wk.c as week_close from cl asof left join wk on cl.ticker = wk.ticker and cl.ct >= wk.closed",
     "asof_vix": f"with {BARS}, {CLOSE}, {VIX} select cl.ticker, cl.i as bar_index, round(vx.vix, 6) as vix, round(vx.c5, 6) as vix_change_5d from cl asof left join vx on cl.ct >= vx.av",
     "news": f"with {BARS}, {CLOSE}, {NEWS}, j as (select cl.ticker, cl.i, count(n.doc_id) filter (n.pub > cl.ct - interval 1 day) as n1, count(n.doc_id) as n7, count(n.score) as ns, avg(n.score) filter (n.pub > cl.ct - interval 1 day) as s1, avg(n.score) as s7 from cl left join news n on n.ticker = cl.ticker and n.pub <= cl.ct and n.av <= cl.ct and n.pub > cl.ct - interval 7 days group by all) select ticker, i as bar_index, n1 as news_count_1d, n7 as news_count_7d, ns as news_scored_7d, round(s1, 6) as news_sentiment_1d, round(s7, 6) as news_sentiment_7d, case when ns >= 3 then 'ok' else 'insufficient_coverage' end as news_quality from j",
@@ -261,8 +262,8 @@ select ticker, i as bar_index, coalesce(eb.s, 'inactive') as breakout_state, cas
     "macro_history": f"with {MACRO}, msrc as (select * from mac where av <= timestamp '1996-07-01 12:00:00'), {NET.format(src='msrc')} select d::varchar as day, round(net, 6) as net_liquidity, round(c1, 6) as net_liquidity_1w_change, round(c4, 6) as net_liquidity_4w_change, round(z, 6) as net_liquidity_zscore_52w, round(c4 / 4, 6) as net_liquidity_slope_4w, {LIQ} as liquidity_state from mh",
     "latest_available": f"with {BARS}, a as (select *, {TO_UTC.format('session_date::timestamp + interval 16 hours + interval 30 minutes')} as av from bars) select ticker, max(i) as bar_index, round(arg_max(c * v, i), 4) as dollar_volume from a where av <= timestamp '1996-07-01 21:00:00' group by ticker",
     "headline_score": f"with {NEWS} select doc_id, round(score, 9) as score from news",
-    "redaction": "select doc_id, regexp_replace(replace('https://x.example/?id=7&API_KEY=k' || doc_id || '&token=abc next hunter2 ' || substr(text, 1, 40), 'hunter2', '[REDACTED]'), '(?i)((?:api_key|apikey|secret_key|token)=)[^&\\s''\"]+', '\\1[REDACTED]', 'g') as redacted from documents",
-    "common_dates": f"with {BARS}, k as (select session_date from bars group by 1 having count(distinct ticker) = (select count(distinct ticker) from bars)) select ticker, count(*) as days from bars join k using (session_date) group by ticker",
+    "redaction": "select doc_id, regexp_replace(replace('https://x.example/?id=7&API_KEY=k' || doc_id || '&token=abc next hunter2 ' || text, 'hunter2', '[REDACTED]'), '(?i)((?:api_key|apikey|secret_key|token)=)[^&\\s''\"]+', '\\1[REDACTED]', 'g') as redacted from documents",
+    "common_dates": f"with {BARS}, k as (select session_date from bars group by 1 having count(distinct ticker) = (select count(distinct ticker) from bars)) select ticker, i as bar_index, session_date::varchar as session_date from bars join k using (session_date)",
     "walk_forward": f"with {BARS}, n as (select ticker, count(*) as n from bars group by ticker), t as (select ticker, unnest(range(256, n, 21)) as p from n) select ticker, row_number() over (partition by ticker order by p) - 1 as fold, greatest(0, p - 4 - 504) as train_start, p - 4 as train_end, p as test_pos from t",
     "registry": "select * from (values ('level', 'validated', 'kalman_local_level'), ('level', 'allowed', 'kalman_local_level'), ('slope_description', 'allowed', 'kalman_local_linear_trend'), ('volatility_forecast', 'validated', 'garch'), ('volatility_forecast', 'validated', 'egarch'), ('volatility_forecast', 'allowed', 'garch'), ('volatility_forecast', 'allowed', 'egarch'), ('regime_description', 'validated', 'hmm2'), ('regime_description', 'validated', 'markov2'), ('regime_description', 'allowed', 'hmm2'), ('regime_description', 'allowed', 'markov2')) t(purpose, kind, name)",
     "score_returns": f"with {FORECASTS}, g as (select asset, model, {SCORE}, avg((sign(f) = sign(a))::int) filter (f <> 0) as da, case when count(distinct f) > 1 then covar_pop(f, a) / nullif(stddev_pop(f) * stddev_pop(a), 0) end as cr from fc group by all) select asset, model, n, round(mae, 9) as mae, round(rmse, 9) as rmse, round(sd, 9) as error_std, round(da, 9) as directional_accuracy, round(cr, 9) as correlation from g",

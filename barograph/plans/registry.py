@@ -78,7 +78,7 @@ def q_acceleration(s, d):
 
 
 def q_acceleration_states(s, d):
-    return features.acceleration_features(walk_bars(s, d)).groupBy("ticker", "acceleration_state").agg(F.count("*").alias("bars"), F.count_if("exhaustion_candidate").alias("exhausted"))
+    return features.acceleration_features(walk_bars(s, d)).select(*K, "acceleration_state", "exhaustion_candidate")
 
 
 def q_compression(s, d):
@@ -110,7 +110,7 @@ def q_rv_percentile(s, d):
 
 def q_recent_flags(s, d):
     x = features.recent_flags(features.compression_features(features.acceleration_features(walk_bars(s, d))))
-    return x.groupBy("ticker").agg(*(F.count_if(c).alias(c) for c in ("accel_up_recent", "accel_down_recent", "compression_recent")))
+    return x.select(*K, "accel_up_recent", "accel_down_recent", "compression_recent")
 
 
 def q_har(s, d):
@@ -195,7 +195,7 @@ def q_check_feature_input(s, d):
 def q_range_filter(s, d):
     b = walk_bars(s, d)
     x = b.where((C("timestamp") >= fixtures.at("1995-01-01")) & (C("timestamp") < fixtures.at("1996-01-01")))
-    return x.groupBy("ticker").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
+    return x.select(*K, "open", "high", "low", "close", "volume")
 
 
 def q_session_bars(s, d):
@@ -238,7 +238,8 @@ def q_weekly(s, d):
 
 
 def q_complete_weeks(s, d):
-    return resample.complete_bars(_weekly(s, d)).groupBy("ticker").agg(F.count("*").alias("weeks"))
+    x = resample.complete_bars(_weekly(s, d)).withColumn("at", F.date_format("timestamp", "yyyy-MM-dd HH:mm"))
+    return rounded(x, ["ticker", "at"], ["close"], 4)
 
 
 def q_check_normalized(s, d):
@@ -259,7 +260,7 @@ def q_close_times(s, d):
 
 def q_truncate(s, d):
     x = resample.truncate(fixtures.close_of(walk_bars(s, d)), fixtures.at("1996-03-15 21:00:00"))
-    return x.groupBy("ticker").agg(F.max("bar_index").alias("last_index"), F.count("*").alias("bars"))
+    return x.select(*K, "close")
 
 
 def q_asof_timeframe(s, d):
@@ -321,7 +322,8 @@ def q_redaction(s, d):
 
 
 def q_common_dates(s, d):
-    return joins.common_dates(walk_bars(s, d), "ticker", "session_date").groupBy("ticker").agg(F.count("*").alias("days"))
+    x = joins.common_dates(walk_bars(s, d), "ticker", "session_date")
+    return x.select(*K, C("session_date").cast("string").alias("session_date"))
 
 
 def q_walk_forward(s, d):
