@@ -57,46 +57,40 @@ def macro_liquidity_history(observations: DataFrame, asof: list[str] | None = No
     return x.withColumns({"net_liquidity_slope_4w": change / 4, "liquidity_state": state})
 
 
+#: Rows of macro observations that macro_states() takes, at most: a few weekly series of some centuries in some vintages.
+MOST_OBSERVATIONS = 100_000
+WEEKS_BACK = 4
+
+
 def macro_states(observations: DataFrame) -> DataFrame:
     """(known_at, macro_liquidity_state, macro_net_liquidity_4w_change) at every moment at which knowledge changes.
 
-    One pass in order of availability over the few macro series, keeping the latest vintage of each observation.
+    The weeks known at a moment and the value of each (series, week) then are as-of lookups: moments of a week's first vintage
+    fold into the running five latest weeks, and each of the two weeks compared looks its values up in the vintages known by
+    then. The history is short by nature, which is checked.
     """
-    import bisect
-
-    import pandas as pd
-
-    factor = {name: spec[2] for name, spec in MACRO_SERIES.items()}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["available_at", "series", "observation_date"], kind="stable")
-        value: dict[tuple, float] = {}
-        weeks: list = []
-        out = []
-
-        def net(day):
-            parts = [value.get((s, day)) for s in ("fed_assets", "tga", "rrp")]
-            return None if None in parts else parts[0] - parts[1] - parts[2]
-
-        rows = list(zip(pdf["available_at"], pdf["series"], pdf["observation_date"], pdf["value"], strict=True))
-        for i, (known, series, day, v) in enumerate(rows):
-            if factor.get(series) is not None:
-                if series == "fed_assets" and (series, day) not in value:
-                    bisect.insort(weeks, day)
-                value[series, day] = v * factor[series]
-            if i + 1 < len(rows) and rows[i + 1][0] == known:
-                continue
-            if not weeks:
-                out.append((known, None, None))
-                continue
-            now, then = net(weeks[-1]), net(weeks[-5]) if len(weeks) > 4 else None
-            change = None if now is None or then is None else now - then
-            out.append((known, "unknown" if change is None else "expanding" if change > 0 else "contracting" if change < 0 else "neutral", change))
-        return pd.DataFrame(out, columns=["known_at", "macro_liquidity_state", "macro_net_liquidity_4w_change"])
-
-    schema = "known_at timestamp, macro_liquidity_state string, macro_net_liquidity_4w_change double"
-    used = observations.where(C("series").isin("fed_assets", "tga", "rrp")).select("available_at", "series", "observation_date", "value")
-    return used.groupBy(F.lit("macro").alias("_m")).applyInPandas(run, schema)
+    used = observations.where(C("series").isin("fed_assets", "tga", "rrp") & C("available_at").isNotNull())
+    if used.limit(MOST_OBSERVATIONS + 1).count() > MOST_OBSERVATIONS:
+        raise ValueError(f"more than {MOST_OBSERVATIONS} macro observations: thin them to vintages that change a value")
+    factor = reduce(lambda acc, kv: F.when(C("series") == kv[0], F.lit(kv[1][2]).cast("double")).otherwise(acc), MACRO_SERIES.items(), F.lit(None).cast("double"))
+    used = used.select("series", C("observation_date").alias("_day"), "available_at", (C("value") * factor).alias("_v"))
+    arrivals = used.where("series = 'fed_assets'").groupBy("_day").agg(F.min("available_at").alias("known_at"))
+    arrivals = arrivals.groupBy("known_at").agg(F.sort_array(F.collect_list("_day"), False).alias("_days"))
+    so_far = Window.orderBy("known_at").rowsBetween(Window.unboundedPreceding, 0)
+    # Weeks mostly arrive in order, but need not: the latest five of all that have arrived.
+    latest_five = F.slice(F.sort_array(F.flatten(F.collect_list(F.slice("_days", 1, WEEKS_BACK + 1)).over(so_far)), False), 1, WEEKS_BACK + 1)
+    arrivals = arrivals.select("known_at", latest_five.alias("_weeks"))
+    moments = used.select(C("available_at").alias("known_at")).distinct()
+    known = moments.join(arrivals, "known_at", "left").withColumn("_weeks", F.last("_weeks", True).over(so_far))
+    now, then = F.get("_weeks", F.lit(0)), F.get("_weeks", F.lit(WEEKS_BACK))
+    asked = known.withColumn("_day", F.explode(F.array_compact(F.array(now, then)))).select("known_at", "_day", (C("_day") == now).alias("_now"))
+    seen = asked.join(used, "_day").where("available_at <= known_at").groupBy("known_at", "_now", "series").agg(F.max_by("_v", F.struct("available_at", "_v")).alias("_v"))
+    value = lambda name: F.max(F.when(C("series") == name, C("_v")))
+    net = seen.groupBy("known_at", "_now").agg((value("fed_assets") - value("tga") - value("rrp")).alias("_net"))
+    net = net.groupBy("known_at").agg(F.max(F.when(C("_now"), C("_net"))).alias("_net"), F.max(F.when(~C("_now"), C("_net"))).alias("_old"))
+    change = C("_net") - C("_old")
+    state = F.when(C("_weeks").isNull(), None).when(change > 0, "expanding").when(change < 0, "contracting").when(change == 0, "neutral").otherwise("unknown")
+    return known.join(net, "known_at", "left").select("known_at", state.alias("macro_liquidity_state"), change.alias("macro_net_liquidity_4w_change"))
 
 
 def macro_by_bar(bars: DataFrame, observations: DataFrame, close: str = "close_time") -> DataFrame:

@@ -185,6 +185,31 @@ n0 as (select doc_id, (['AFRICA','AMERICA','ASIA','EUROPE','MIDDLE EAST'])[doc_i
 n1 as (select *, len(list_intersect(w, [{POS}])) as p, len(list_intersect(w, [{NEG}])) as q from n0),
 news as (select doc_id, ticker, pub, pub + interval 2 hours as av, case when p + q > 0 then (p - q) / (p + q)::double end as score from n1)
 """
+BREADTH = f"""dense as (select d.session_date, t.ticker, b.c, b.h, b.l from (select distinct session_date from bars) d cross join (select distinct ticker from bars) t left join bars b using (session_date, ticker)),
+bx as (select *, {', '.join(f"case when count(c) over (partition by ticker order by session_date rows between {k - 1} preceding and current row) = {k} then avg(c) over (partition by ticker order by session_date rows between {k - 1} preceding and current row) end as s{k}" for k in (20, 50, 200))}, lag(c) over (partition by ticker order by session_date) as pc,
+ case when count(h) over y = 252 then max(h) over y end as top, case when count(l) over y = 252 then min(l) over y end as bot from dense window y as (partition by ticker order by session_date rows between 252 preceding and 1 preceding)),
+bg0 as (select session_date, count(c) as n, {', '.join(f'count(*) filter (s{k} is not null and c is not null) as n{k}, count(*) filter (c > s{k}) as a{k}' for k in (20, 50, 200))}, count(*) filter (c > pc) as adv, count(*) filter (c < pc) as dec, count(top) as nt, count(bot) as nb, count(*) filter (c > top) as hi, count(*) filter (c < bot) as lo from bx group by session_date),
+bg as (select *, {', '.join(f'case when n{k} >= 3 then a{k} / n{k} end as b{k}' for k in (20, 50, 200))}, {TO_UTC.format("session_date::timestamp + interval 16 hours + interval 30 minutes")} as av from bg0)
+"""
+#: Net liquidity as known at each close.
+MACRO_BARS = """
+cts as (select distinct ct from cl),
+mk as (select ct, series, d, arg_max(value, av) * case series when 'rrp' then 1000 else 1 end as m from cts join mac on av <= ct group by ct, series, d),
+mkw as (select ct, d, max(m) filter (series = 'fed_assets') - max(m) filter (series = 'tga') - max(m) filter (series = 'rrp') as net from mk group by ct, d having max(m) filter (series = 'fed_assets') is not null),
+mkr as (select *, row_number() over (partition by ct order by d desc) as n from mkw),
+mks as (select ct, max(net) filter (n = 1) - max(net) filter (n = 5) as c4 from mkr group by ct),
+mb as (select cl.*, mks.ct is not null as has, mks.c4, case when mks.ct is null then null when c4 > 0 then 'expanding' when c4 < 0 then 'contracting' when c4 = 0 then 'neutral' else 'unknown' end as liq from cl left join mks using (ct))
+"""
+NEWS_BARS = """
+nj as (select cl.ticker, cl.i, count(n.doc_id) as n7, count(n.score) as ns, avg(n.score) as s7 from cl left join news n on n.ticker = cl.ticker and n.pub <= cl.ct and n.av <= cl.ct and n.pub > cl.ct - interval 7 days group by all)
+"""
+#: One row per bar with all that is known outside of it.
+OUTSIDE = f"""{BARS}, {CLOSE}, {VIX}, {BREADTH}, {MACRO}, {MACRO_BARS}, {NEWS}, {NEWS_BARS},
+bc as (select *, b50 - lag(b50, 5) over (order by session_date) as b50c from bg),
+o1 as (select mb.*, vx.vix, vx.z as vix_zscore, vx.c5 as vix_change_5d from mb asof left join vx on mb.ct >= vx.av),
+o2 as (select o1.*, bc.b50, bc.b50c from o1 asof left join bc on o1.ct >= bc.av),
+outside as (select o2.ticker, o2.i, o2.ct, vix, vix_zscore, vix_change_5d, b50, b50c, liq, c4, has, n7, ns, case when ns >= 3 then s7 end as s7, case when ns >= 3 then 'ok' else 'insufficient_coverage' end as nq from o2 join nj using (ticker, i))
+"""
 FORECASTS = RET + """,
 fr as (select ticker, session_date, i, r, lag(r) over (partition by ticker order by i) as f1, lag(r, 2) over (partition by ticker order by i) as f2 from ret),
 fc as (select ticker as asset, session_date as d, m.model, case m.model when 'zero' then 0.0::double when 'last' then f1 else 0.1 * f1 - 0.05 * f2 end as f, r as a, case when m.model = 'AutoReg' then i % 3 + 1 end as par
@@ -195,6 +220,7 @@ VFC = HAR + f""",
 vf0 as (select ticker, rv as a, {LAG('rv')} as d, {LAG('w5')} as k, {LAG('m22')} as m from har),
 vf as (select ticker as asset, x.model, case x.model when 'last' then d else (d + k + m) / 3 end as f, a from vf0 cross join (select unnest(['last', 'HAR-RV']) as model) x where m is not null)
 """
+SNAP = "timestamp '1996-07-01 21:00:00'"
 SCORE = "count(*) as n, avg(abs(f - a)) as mae, sqrt(avg((f - a) * (f - a))) as rmse, stddev_samp(f - a) as sd"
 EXTERNAL_ASOF = f"""with {BARS}, {CLOSE}, {VIX}"""
 
@@ -218,11 +244,8 @@ SQL = {
     "relative_strength": f"with {BARS}, j as (select b.*, a.c as bc, b.c / a.c as q from bars b left join (select session_date, c from bars where ticker = 'AMERICA') a using (session_date)) select ticker, i as bar_index, {', '.join(f'round((c / {LAG("c", k)} - 1) - (bc / {LAG("bc", k)} - 1), 6) as relative_return_{k}' for k in (5, 20, 60))}, round(q, 6) as price_benchmark_ratio, round((ln(q) - ln({LAG('q', 20)})) / 20, 6) as ratio_slope, round((q - {full('avg(q)', 'q', 20)}) / nullif({full('stddev_samp(q)', 'q', 20)}, 0), 6) as ratio_zscore, bc is not null as benchmark_available from j",
     "asset_liquidity": bars_query(f"ticker, i as bar_index, round(c * v, 6) as dollar_volume, round(v / nullif({before('avg(v)', 'v', 20, 20)}, 0), 6) as relative_volume, round(v / 1e6, 6) as turnover, round(abs(r) / nullif(v, 0), 6) as volatility_per_volume, round(o / {LAG('c')} - 1, 6) as overnight_gap", "ret", RET),
     "vix": f"with {VIX} select d::varchar as day, strftime(av, '%Y-%m-%d %H:%M') as available, round(vix, 6) as vix, round(c1, 6) as vix_change_1d, round(c5, 6) as vix_change_5d, round(z, 6) as vix_zscore_252d from vx",
-    "breadth": f"""with {BARS}, dense as (select d.session_date, t.ticker, b.c, b.h, b.l from (select distinct session_date from bars) d cross join (select distinct ticker from bars) t left join bars b using (session_date, ticker)),
-x as (select *, {', '.join(f"case when count(c) over (partition by ticker order by session_date rows between {k - 1} preceding and current row) = {k} then avg(c) over (partition by ticker order by session_date rows between {k - 1} preceding and current row) end as s{k}" for k in (20, 50, 200))}, lag(c) over (partition by ticker order by session_date) as pc,
- case when count(h) over y = 252 then max(h) over y end as top, case when count(l) over y = 252 then min(l) over y end as bot from dense window y as (partition by ticker order by session_date rows between 252 preceding and 1 preceding)),
-g as (select session_date, count(c) as n, {', '.join(f'count(*) filter (s{k} is not null and c is not null) as n{k}, count(*) filter (c > s{k}) as a{k}' for k in (20, 50, 200))}, count(*) filter (c > pc) as adv, count(*) filter (c < pc) as dec, count(top) as nt, count(bot) as nb, count(*) filter (c > top) as hi, count(*) filter (c < bot) as lo from x group by session_date)
-select session_date::varchar as day, n as members_available, {', '.join(f'case when n{k} >= 3 then round(a{k} / n{k}, 6) end as breadth_sma{k}' for k in (20, 50, 200))}, case when n >= 3 then adv end as advances, case when n >= 3 then dec end as declines, case when n >= 3 then round(adv / nullif(dec, 0), 6) end as advance_decline_ratio, case when nt >= 3 then hi end as new_highs_252d, case when nb >= 3 then lo end as new_lows_252d from g""",
+    "breadth": f"""with {BARS}, {BREADTH}
+select session_date::varchar as day, n as members_available, {', '.join(f'round(b{k}, 6) as breadth_sma{k}' for k in (20, 50, 200))}, case when n >= 3 then adv end as advances, case when n >= 3 then dec end as declines, case when n >= 3 then round(adv / nullif(dec, 0), 6) end as advance_decline_ratio, case when nt >= 3 then hi end as new_highs_252d, case when nb >= 3 then lo end as new_lows_252d from bg""",
     "rv_percentile": f"with {HAR}, p as (select a.ticker, a.i, a.rv, count(*) filter (b.rv < a.rv and b.i < a.i) as n, count(b.rv) as have from har a left join har b on b.ticker = a.ticker and b.i between a.i - 251 and a.i group by all) select ticker, i as bar_index, case when rv is not null and have >= 60 then round(n / least(i, 251), 6) end as rv20_percentile from p",
     "recent_flags": f"with {COMP}, {'ac1 as (select ticker, i, ln(c) - ln(' + LAG('c', 20) + ') as cum from bars), ac2 as (select *, cum / 20 as slope from ac1), ac3 as (select *, slope - ' + LAG('slope', 5) + ' as sc from ac2)'}, j as (select c.ticker, c.i, c.vc, slope > 0 and sc > 0 as up, slope < 0 and sc < 0 as dn from comp c join ac3 using (ticker, i)), f as (select ticker, i, max(coalesce(up, false)::int) over (partition by ticker order by i rows between 9 preceding and current row) as u, max(coalesce(dn, false)::int) over (partition by ticker order by i rows between 9 preceding and current row) as d, coalesce(max(vc::int) over (partition by ticker order by i rows between 20 preceding and 1 preceding), 0) as k from j) select ticker, i as bar_index, u = 1 as accel_up_recent, d = 1 as accel_down_recent, k = 1 as compression_recent from f",
     "har": bars_query("ticker, i as bar_index, round(rv, 9) as har_daily, round(w5, 9) as har_weekly, round(m22, 9) as har_monthly", "har", HAR),
@@ -260,6 +283,32 @@ select ticker, i as bar_index, coalesce(eb.s, 'inactive') as breakout_state, cas
     "news": f"with {BARS}, {CLOSE}, {NEWS}, j as (select cl.ticker, cl.i, count(n.doc_id) filter (n.pub > cl.ct - interval 1 day) as n1, count(n.doc_id) as n7, count(n.score) as ns, avg(n.score) filter (n.pub > cl.ct - interval 1 day) as s1, avg(n.score) as s7 from cl left join news n on n.ticker = cl.ticker and n.pub <= cl.ct and n.av <= cl.ct and n.pub > cl.ct - interval 7 days group by all) select ticker, i as bar_index, n1 as news_count_1d, n7 as news_count_7d, ns as news_scored_7d, round(s1, 6) as news_sentiment_1d, round(s7, 6) as news_sentiment_7d, case when ns >= 3 then 'ok' else 'insufficient_coverage' end as news_quality from j",
     "macro_asof": f"with {MACRO}, k as (select series, d, arg_max(value, av) as v from mac where av <= timestamp '1996-07-01 12:00:00' group by all) select series, max(d)::varchar as day, arg_max(v, d) as value from k group by series",
     "macro_history": f"with {MACRO}, msrc as (select * from mac where av <= timestamp '1996-07-01 12:00:00'), {NET.format(src='msrc')} select d::varchar as day, round(net, 6) as net_liquidity, round(c1, 6) as net_liquidity_1w_change, round(c4, 6) as net_liquidity_4w_change, round(z, 6) as net_liquidity_zscore_52w, round(c4 / 4, 6) as net_liquidity_slope_4w, {LIQ} as liquidity_state from mh",
+    "macro_by_bar": f"with {BARS}, {CLOSE}, {MACRO}, {MACRO_BARS} select ticker, i as bar_index, liq as macro_liquidity_state, round(c4, 6) as macro_net_liquidity_4w_change, case when has then 'asof_safe' else 'not_yet_available' end as macro_status from mb",
+    "external_context": f"with {OUTSIDE} select ticker, i as bar_index, round(vix, 6) as vix, round(vix_zscore, 6) as vix_zscore, round(vix_change_5d, 6) as vix_change_5d, round(b50, 6) as breadth_sma50, round(b50c, 6) as breadth_sma50_change5, liq as macro_liquidity_state, round(c4, 6) as macro_net_liquidity_4w_change, case when has then 'asof_safe' else 'not_yet_available' end as macro_status, n7 as news_count_7d, ns as news_scored_7d, round(s7, 6) as news_sentiment_7d, nq as news_quality from outside",
+    "context_snapshot": f"""with {BARS}, {VIX}, {BREADTH}, {MACRO}, msrc as (select * from mac where av <= {SNAP}), {NET.format(src='msrc')}, {NEWS},
+v as (select * from vx where av <= {SNAP} order by av desc limit 1), g as (select * from bg where av <= {SNAP} order by av desc limit 1), k as (select series, arg_max(value, (d, av)) as value from msrc group by series),
+a as (select i, c * v as dv from bars where ticker = 'ASIA' and {TO_UTC.format("session_date::timestamp + interval 16 hours + interval 30 minutes")} <= {SNAP} order by i desc limit 1), n as (select * from mh order by d desc limit 1),
+w as (select * from news where ticker = 'ASIA' and pub <= {SNAP} and av <= {SNAP} and pub > {SNAP} - interval 7 days)
+select v.d::varchar as vix_day, round(v.vix, 6) as vix, round(v.c1, 6) as vix_change_1d, round(v.c5, 6) as vix_change_5d, round(v.z, 6) as vix_zscore, g.session_date::varchar as breadth_day, g.n as members, round(g.b20, 6) as breadth_sma20, round(g.b50, 6) as breadth_sma50, round(g.b200, 6) as breadth_sma200, g.adv as advances, g.dec as declines,
+  a.i as asset_bar, round(a.dv, 6) as dollar_volume, (select value from k where series = 'fed_assets') as fed_assets, (select value from k where series = 'tga') as tga, (select value from k where series = 'rrp') as rrp, null::double as treasury_2s10s,
+  n.d::varchar as net_day, round(n.net, 6) as net_liquidity, round(n.c4, 6) as net_liquidity_4w_change, {LIQ.replace("c4", "n.c4")} as liquidity_state,
+  (select count(*) from w where pub > {SNAP} - interval 1 day) as news_1d, (select count(*) from w) as news_7d, (select count(score) from w) as news_scored_7d, (select round(avg(score), 6) from w) as news_sentiment_7d from v, g, a, n""",
+    "stability": f"""with {FORECASTS}, r as (select asset, model, sqrt(avg((f - a) * (f - a))) as rmse from fc group by all), rb as (select r.*, z.rmse as base from r left join (select * from r where model = 'zero') z using (asset)),
+ba as (select model, avg((rmse < base)::int::double) as ac, avg(rmse) as m, avg(base) as bm from rb group by model), e as (select count(*) as n from (select distinct asset, d from fc)), cn as (select model, count(*) as n from fc group by model),
+fe as (select model, asset, d, avg(f - a) as e from fc group by all), fo as (select x.model, avg((abs(x.e) < abs(z.e))::int::double) as fcons from fe x join fe z on z.model = 'zero' and z.asset = x.asset and z.d = x.d group by x.model),
+ps as (select model, 1 / (1 + stddev_samp(par) / greatest(avg(par), 1)) as p from fc where model = 'AutoReg' group by model),
+j as (select model, greatest(0, least(1, cn.n / e.n)) as cv, case when model = 'zero' then 1 else coalesce(p, 1) end as ps, case when model = 'zero' then 0.5 else coalesce(fcons, 0) end as fc, ac, case when model = 'zero' then 0.5 else ac end as ac2,
+  case when model = 'zero' then 0.5 else greatest(0, least(1, (bm - m) / greatest(bm, 1e-12) * 10)) end as ad from cn cross join e join ba using (model) left join fo using (model) left join ps using (model))
+select model as component, round((cv + ps + fc + ac2 + ad) / 5, 3) as stability_score, round(cv, 3) as convergence, round(ps, 3) as parameter_stability, round(fc, 3) as fold_consistency, round(ac2, 3) as asset_consistency, round(ad, 3) as advantage, model <> 'zero' and ac < 0.6 as benchmark_only from j""",
+    "atr_reversal": f"""with recursive {ATR}, z as (select ticker, i, 0 as way, h as top, i as ti, l as bot, i as bi, null::double as ph, null::bigint as phi, null::double as pl, null::bigint as pli from atr where i = 0
+union all select x.ticker, x.i, x.way3, case when x.lowf then x.h else x.top2 end, case when x.lowf then x.i else x.ti2 end, x.bot3, x.bi3, case when x.highf then x.top2 end, case when x.highf then x.ti2 end, case when x.lowf then x.bot3 end, case when x.lowf then x.bi3 end
+  from (select *, way2 <= 0 and i > bi3 and h - bot3 >= coalesce(atr * 1.5, 'infinity'::double) as lowf, case when way2 <= 0 and i > bi3 and h - bot3 >= coalesce(atr * 1.5, 'infinity'::double) then 1 else way2 end as way3
+  from (select *, case when way2 <= 0 and l < bot2 then l else bot2 end as bot3, case when way2 <= 0 and l < bot2 then i else bi2 end as bi3
+  from (select *, case when highf then l else bot end as bot2, case when highf then i else bi end as bi2, case when highf then -1 else way end as way2
+  from (select *, way >= 0 and i > ti2 and top2 - l >= coalesce(atr * 1.5, 'infinity'::double) as highf
+  from (select a.ticker, a.i, a.h, a.l, a.atr, z.way, z.bot, z.bi, case when z.way >= 0 and a.h > z.top then a.h else z.top end as top2, case when z.way >= 0 and a.h > z.top then a.i else z.ti end as ti2 from z join atr a on a.ticker = z.ticker and a.i = z.i + 1))))) x)
+select ticker, 'swing_high' as type, phi::int as bar_index, i::int as confirmation_index, ph as price_level, (i - phi)::int as confirmation_lag_bars from z where ph is not null
+union all select ticker, 'swing_low', pli::int, i::int, pl, (i - pli)::int from z where pl is not null""",
     "latest_available": f"with {BARS}, a as (select *, {TO_UTC.format('session_date::timestamp + interval 16 hours + interval 30 minutes')} as av from bars) select ticker, max(i) as bar_index, round(arg_max(c * v, i), 4) as dollar_volume from a where av <= timestamp '1996-07-01 21:00:00' group by ticker",
     "headline_score": f"with {NEWS} select doc_id, round(score, 9) as score from news",
     "redaction": "select doc_id, regexp_replace(replace('https://x.example/?id=7&API_KEY=k' || doc_id || '&token=abc next hunter2 ' || text, 'hunter2', '[REDACTED]'), '(?i)((?:api_key|apikey|secret_key|token)=)[^&\\s''\"]+', '\\1[REDACTED]', 'g') as redacted from documents",

@@ -304,7 +304,13 @@ def q_external_context(s, d):
 def q_context_snapshot(s, d):
     b = walk_bars(s, d)
     x = context.context_snapshot(fixtures.at("1996-07-01 21:00:00"), s, fixtures.vix(s, d), fixtures.breadth(b), features.asset_liquidity(b), fixtures.macro(s, d), fixtures.news(s, d), "ASIA")
-    return x.select(F.to_json(F.struct("*")).alias("snapshot"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    x = x.select(
+        day("vix.observation_date").alias("vix_day"), "vix.vix", "vix.vix_change_1d", "vix.vix_change_5d", C("vix.vix_zscore_252d").alias("vix_zscore"), day(scalars.ny_time(C("breadth.timestamp"))).alias("breadth_day"),
+        C("breadth.members_available").alias("members"), "breadth.breadth_sma20", "breadth.breadth_sma50", "breadth.breadth_sma200", "breadth.advances", "breadth.declines", C("asset_liquidity.bar_index").alias("asset_bar"),
+        "asset_liquidity.dollar_volume", *(C("macro")[k].alias(k) for k in ("fed_assets", "tga", "rrp")), "treasury_2s10s", day("net_liquidity.observation_date").alias("net_day"), C("net_liquidity.net_liquidity").alias("net"),
+        "net_liquidity.net_liquidity_4w_change", "net_liquidity.liquidity_state", C("news.count_1d").alias("news_1d"), C("news.count_7d").alias("news_7d"), C("news.scored_7d").alias("news_scored_7d"), C("news.sentiment_7d").alias("news_sentiment_7d"))
+    return rounded(x.withColumnRenamed("net", "net_liquidity"), [], [c if c != "net" else "net_liquidity" for c in x.columns])
 
 
 def q_latest_available(s, d):

@@ -93,7 +93,8 @@ def macro_revisions(spark: SparkSession, path: str, name: str, fetched: str) ->
 
 
 def vix_closes(spark: SparkSession, path: str) -> DataFrame:
-    """(observation_date, vix) from a CSV whose header has a date column and `close` or `vix close`, in any case and spacing."""
+    """(observation_date, vix) from a CSV whose header has a date column and `close` or `vix close`, in any case and spacing. Of
+    rows that repeat a date the greatest close counts, whatever their order."""
     rows = spark.read.option("header", True).csv(path)
     names = {c.strip().lower(): c for c in rows.columns}
     close = names.get("close", names.get("vix close"))
@@ -102,7 +103,7 @@ def vix_closes(spark: SparkSession, path: str) -> DataFrame:
     date = names.get("date", rows.columns[0])
     day = F.coalesce(F.expr(f"try_to_timestamp(`{date}`, 'MM/dd/yyyy')"), F.expr(f"try_cast(`{date}` as timestamp)"))
     rows = rows.select(day.alias("observation_date"), F.expr(f"try_cast(`{close}` as double)").alias("vix")).dropna()
-    return rows.groupBy("observation_date").agg(F.first("vix").alias("vix"))
+    return rows.groupBy("observation_date").agg(F.max("vix").alias("vix"))
 
 
 def news(spark: SparkSession, path: str) -> DataFrame:
