@@ -116,8 +116,11 @@ def run_length(df: DataFrame, flag: str, name: str) -> DataFrame:
 
 
 def relative_strength(bars: DataFrame, benchmark: DataFrame, window: int = 20) -> DataFrame:
-    """Joins the benchmark's close on the exact timestamp. A missing benchmark bar nulls every metric that touches it."""
-    right = benchmark.groupBy("timestamp").agg(F.assert_true(F.count("*") == 1, F.lit("benchmark timestamps repeat")).alias("_ok"), F.first("close").alias("benchmark_close")).drop("_ok")
+    """Joins the benchmark's close on the exact timestamp. A missing benchmark bar nulls every metric that touches it; one that
+    repeats is an error."""
+    right = benchmark.groupBy("timestamp").agg(F.count("*").alias("_n"), F.first("close").alias("benchmark_close"))
+    single = F.assert_true(C("_n") == 1, F.lit("benchmark timestamps repeat"))
+    right = right.where(single.isNull()).drop("_n")  # a condition on it, so that it is not pruned
     x = bars.join(right, "timestamp", "left")
     x = x.withColumns({"benchmark_available": C("benchmark_close").isNotNull(), "price_benchmark_ratio": C("close") / C("benchmark_close")})
     change = lambda c, k: C(c) / lag(c, k) - 1

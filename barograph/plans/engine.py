@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +71,14 @@ ALLOWED = {
 }
 
 
-def check_results(results: DataFrame) -> DataFrame:
-    """Violations per series and pattern: forbidden transitions, scores out of range, evidence on both sides, misordered times."""
+#: Words that no evidence, note or column of a description may hold: it describes and never advises. Fixed values.
+FORBIDDEN = ("buy", "sell", "signal", "profit", "pnl", "return_forecast", "target_price", "entry", "exit", "position")
+
+
+def check_results(results: DataFrame, frame: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Violations per series and pattern: forbidden transitions, scores out of range, evidence on both sides, misordered times,
+    words of advice; with the evidence frame, context that was not available at the close (external series and higher
+    timeframes); with the events, levels that were not known before the bar that breaks them."""
     w = series([*KEYS, "pattern_name"])
     before = F.lag("state").over(w)
     allowed = F.lit(False)
@@ -80,16 +87,34 @@ def check_results(results: DataFrame) -> DataFrame:
     later = lambda c: C(c) < C("first_detected_at")
     x = results.withColumn("_bad", before.isNotNull() & ~allowed)
     out = lambda c: (C(c) < 0) | (C(c) > 1)
-    return x.groupBy(*KEYS, "pattern_name").agg(
+    words = F.array_join(F.concat("evidence_for", "evidence_against", "notes"), " ")
+    advice = F.regexp_like(F.lower(F.concat_ws(" ", "pattern_name", words)), F.lit(rf"\b({'|'.join(FORBIDDEN)})\b"))
+    checked = x.groupBy(*KEYS, "pattern_name").agg(
         F.count_if("_bad").alias("bad_transitions"), F.count_if(out("score") | out("score_structure") | out("score_momentum") | out("score_volatility") | out("score_regime") | out("score_context")).alias("bad_scores"),
         F.count_if(F.arrays_overlap("evidence_for", "evidence_against")).alias("on_both_sides"), F.count_if(later("confirmed_at") | later("invalidated_at") | later("expired_at")).alias("bad_times"),
-        F.count_if((C("state") != "inactive") & C("episode_id").isNull()).alias("state_without_episode"))
+        F.count_if((C("state") != "inactive") & C("episode_id").isNull()).alias("state_without_episode"), F.count_if(advice).alias("forbidden_words"))
+    if frame is not None:
+        ahead = [c for c in frame.columns if c.endswith("_available_at") or c[:3] in ("w1_", "d1_", "h4_", "h1_") and c.endswith("_close_time")]
+        unknown = reduce(lambda a, b: a | b, (F.coalesce(C(c) > C("close_time"), F.lit(False)) for c in ahead), F.lit(False))
+        checked = checked.join(frame.groupBy(*KEYS).agg(F.count_if(unknown).alias("not_available")), KEYS, "left")
+    if events is not None:
+        checked = checked.join(events.groupBy(*KEYS).agg(F.count_if(C("level_asof_index") >= C("origin_index")).alias("level_too_young")), KEYS, "left").fillna(0, ["level_too_young"])
+    return checked
 
 
 def prefix_differences(run, bars: DataFrame, at: int) -> DataFrame:
     """Rows of run(bars up to `at`) that are not in run(bars), and the other way round, up to bar `at`: none where run is causal."""
-    short, full = run(bars.where(C("bar_index") <= at)), run(bars).where(C("bar_index") <= at)
-    return short.exceptAll(full).withColumn("side", F.lit("prefix only")).unionByName(full.exceptAll(short).withColumn("side", F.lit("full only")))
+    return prefix_differences_at(run, bars, (at,)).drop("cut")
+
+
+def prefix_differences_at(run, bars: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """prefix_differences() at several cuts, with the whole run taken once."""
+    whole, parts = stash(run(bars), "whole"), []
+    for at in cuts:
+        short, full = run(bars.where(C("bar_index") <= at)), whole.where(C("bar_index") <= at)
+        parts += [short.exceptAll(full).withColumn("side", F.lit("prefix only")), full.exceptAll(short).withColumn("side", F.lit("full only"))]
+        parts[-2:] = [p.withColumn("cut", F.lit(at)) for p in parts[-2:]]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def transitions(results: DataFrame) -> DataFrame:

@@ -442,17 +442,48 @@ def q_quant_context(s, d):
 
 
 _runs: dict[tuple, engine.PatternRun] = {}
+SOURCES = ("region", "nation", "supplier", "orders", "lineitem", "documents")
+
+
+def _snapshot(s, d) -> tuple:
+    """Names, sizes and times of the files that the engine's inputs come from."""
+    out = []
+    for name in SOURCES:
+        path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = path.getFileSystem(s._jsc.hadoopConfiguration())
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path))
+    return tuple(out)
 
 
 def run_engine(s, d, quant: bool = False) -> engine.PatternRun:
-    """The engine over all series; its tables are kept for the session, as many queries report on them."""
+    """The engine over all series. Its tables are kept for the application while the files that it read stay as they are, as many
+    queries report on them."""
     key = (s.sparkContext.applicationId, d, quant)
-    if key not in _runs:
+    now = _snapshot(s, d)
+    if key not in _runs or _runs[key][0] != now:
         b = walk_bars(s, d)
         week = resample.complete_bars(_weekly(s, d))
         week = week.withColumn("bar_index", F.row_number().over(joins.Window.partitionBy("ticker", "timeframe").orderBy("timestamp")) - 1)
-        _runs[key] = engine.run_pattern_engine(b, "1Day", fixtures.benchmark(b), {"1Week": week}, models.quant_context(b) if quant else None, _external(s, d))
-    return _runs[key]
+        _runs[key] = (now, engine.run_pattern_engine(b, "1Day", fixtures.benchmark(b), {"1Week": week}, models.quant_context(b) if quant else None, _external(s, d)))
+    return _runs[key][1]
+
+
+def _stamp(column: str, name: str):
+    return F.date_format(column, "yyyy-MM-dd HH:mm").alias(name)
+
+
+def _report(df, keys, columns, digits):
+    """rounded(), with lists of names as text."""
+    kinds = dict(df.dtypes)
+    return rounded(df.withColumns({c: F.array_join(c, ";") for c in columns if kinds[c].startswith("array")}), keys, columns, digits)
+
+
+TIMES = {"first_detected_at": "first_detected", "confirmed_at": "confirmed", "invalidated_at": "invalidated", "expired_at": "expired"}
+SCORES = ["score_structure", "score_momentum", "score_volatility", "score_regime", "score_context"]
+DETAILS = [
+    "move_extreme", "level", "level_asof_index", "breakout_distance_atr", "relative_volume", "level_type", "level_touch_count", "breakout_index", "bars_to_failure", "volatility_context", "z_start", "trigger", "stop",
+    "pivot_price", "neckline", "old_pivot_index", "pivot_index",
+]
 
 
 def q_evidence(s, d):
@@ -460,21 +491,32 @@ def q_evidence(s, d):
     return rounded(x, K, ["structural_state", "zscore_20", "slope_20_pct", "rv20_percentile", "nearest_support", "breakout_state", "gap_up_recent", "ratio_zscore", "vix_zscore", "w1_structural_state", "htf_structural_state"])
 
 
+def _results(x):
+    detail = lambda k: F.get_json_object("details", f"$.{k}").cast("string" if k in ("level_type", "volatility_context") else "double").alias(f"d_{k}")
+    x = x.select("*", _stamp("timestamp", "at"), *(_stamp(c, n) for c, n in TIMES.items()), *map(detail, DETAILS)).withColumns({"required_met": C("required_conditions_met"), "required_missing": C("required_conditions_missing"), "optional_met": C("optional_conditions_met"), "notes": F.array_join("notes", ";")})
+    return _report(x, [*K, "at", "pattern_name", "pattern_family", "direction"], ["score", *SCORES, "evidence_for", "evidence_against", "required_met", "required_missing", "optional_met", "notes", "state", "episode_id", "bars_active", *TIMES.values(), "subtype", *(f"d_{k}" for k in DETAILS)], 9)
+
+
 def q_patterns(s, d):
-    return run_engine(s, d).results.drop("timeframe", "close")
+    return _results(run_engine(s, d).results)
 
 
 def q_patterns_with_models(s, d):
-    return run_engine(s, d, True).results.where("state <> 'inactive'").drop("timeframe", "close")
+    return _results(run_engine(s, d, True).results.where("state <> 'inactive'"))
 
 
 def q_episodes(s, d):
-    return run_engine(s, d).episodes().drop("timeframe")
+    x = run_engine(s, d).episodes()
+    x = x.select("*", *(_stamp(c, n) for c, n in TIMES.items()))
+    return _report(x, ["ticker", "pattern", "episode_id", "pattern_family", "direction"], ["subtype", "state", *TIMES.values(), "bars_active", "score", "reached_developing", "score_max", "score_at_detection", "key_evidence_for", "key_evidence_against", "final_evidence_for", "final_evidence_against", "regime", "volatility", "is_open", "level_asof_index"], 6)
 
 
 def q_pattern_summary(s, d):
     r = run_engine(s, d)
-    return scores.describe_patterns(r.episodes(), r.results).drop("timeframe")
+    x = scores.describe_patterns(r.episodes(), r.results)
+    scored = [f"score_max_{n}" for n in ("p25", "median", "p75")]
+    x = x.drop("timeframe")
+    return rounded(rounded(x, [c for c in x.columns if c not in scored], scored, 8), ["ticker", "pattern", *scored], [c for c in x.columns if c not in ("ticker", "pattern", *scored)])
 
 
 def q_pattern_families(s, d):
@@ -482,11 +524,13 @@ def q_pattern_families(s, d):
 
 
 def q_score_distribution(s, d):
-    return scores.score_distribution(run_engine(s, d).episodes())
+    x = scores.score_distribution(run_engine(s, d).episodes())
+    return rounded(x, ["pattern"], [c for c in x.columns if c != "pattern"], 8)
 
 
 def q_pattern_overlap(s, d):
-    return scores.pattern_overlap(run_engine(s, d).results)
+    x = scores.pattern_overlap(run_engine(s, d).results)
+    return rounded(x, ["pattern_a", "pattern_b"], [c for c in x.columns if not c.startswith("pattern_")])
 
 
 def q_simultaneous(s, d):
@@ -494,21 +538,25 @@ def q_simultaneous(s, d):
 
 
 def q_validation_summary(s, d):
-    return scores.validation_summary(run_engine(s, d).episodes())
+    x = scores.validation_summary(run_engine(s, d).episodes())
+    return rounded(x, ["pattern"], [c for c in x.columns if c != "pattern"], 8)
 
 
 def q_pattern_checks(s, d):
-    return engine.check_results(run_engine(s, d).results).drop("timeframe")
+    r = run_engine(s, d)
+    return engine.check_results(r.results, r.evidence, r.events).drop("timeframe")
 
 
 def q_bar_contexts(s, d):
-    return engine.bar_contexts(run_engine(s, d).evidence).select(*K, "regime", "volatility", F.to_json("structure_context").alias("structure"), F.to_json("mtf_context").alias("mtf"))
+    x = engine.bar_contexts(run_engine(s, d).evidence).select(*K, "regime", "volatility", "structure_context.*", "mtf_context.w1_structural_state", "volatility_context.rv20_percentile", "volatility_context.atr", "volatility_context.compression_duration", "external_context.vix", "external_context.macro_liquidity_state", "external_context.news_quality")
+    return rounded(x, K, ["regime", "volatility", "structural_state", "last_high", "last_low", "nearest_support", "nearest_resistance", "breakout_state", "breakout_direction", "fake_breakout_state", "w1_structural_state", "rv20_percentile", "atr", "compression_duration", "vix", "macro_liquidity_state", "news_quality"])
 
 
 def q_structure_snapshot(s, d):
     b = walk_bars(s, d)
     frame, _, swings = evidence.build_evidence(b, "1Day", fixtures.benchmark(b))
-    return structure.structure_snapshot(b, frame, structure.classify_swings(swings)).drop("timeframe")
+    x = structure.structure_snapshot(b, frame, structure.classify_swings(swings))
+    return _report(x, ["ticker", "bar_index"], [c for c in x.columns if c not in ("ticker", "timeframe", "bar_index", "timestamp")], 6)
 
 
 def q_prefix_check(s, d):
