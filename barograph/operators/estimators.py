@@ -329,8 +329,9 @@ def gaussian(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_regimes(x: np.ndarray, states: int = 2, seed: int = 42, steps: int = 60, tol: float = 1e-4, floor: float = 1e-4) -> dict:
-    """A Gaussian hidden Markov chain by EM from one start: rows split by the size of their last column, jittered by seed."""
+def fit_regimes(x: np.ndarray, states: int = 2, seed: int = 42, steps: int = 200, tol: float = 1e-4, floor: float = 1e-4) -> dict:
+    """A Gaussian hidden Markov chain by EM from one start: rows split by the size of their last column, jittered by seed.
+    It has converged when a step gains less than `tol` of log-likelihood."""
     rng = np.random.default_rng(seed)
     order = np.argsort(np.argsort(np.abs(x[:, -1]) + rng.normal(0, 0.3 * x[:, -1].std() + 1e-12, len(x))))
     part = order * states // len(x)
@@ -342,7 +343,7 @@ def fit_regimes(x: np.ndarray, states: int = 2, seed: int = 42, steps: int = 60,
     for _ in range(steps):
         filtered, loglik = forward(gaussian(x, means, covs), start, transition)
         history.append(loglik)
-        if len(history) > 1 and abs(history[-1] - history[-2]) < tol * abs(history[-1]):
+        if len(history) > 1 and abs(history[-1] - history[-2]) < tol:
             break
         weight, moves = smooth(filtered, transition)
         total = np.maximum(weight.sum(axis=0), 1e-9)

@@ -133,8 +133,20 @@ def evaluate_kalman(bars: DataFrame, splits: DataFrame) -> DataFrame:
     return fold_rows(bars, splits, ["close"]).groupBy(*KEYS, "fold").applyInPandas(run, schema)
 
 
+#: Share of rows whose states must agree between starts.
+STABLE = 0.8
+
+
+def last_folds(splits: DataFrame) -> DataFrame:
+    """The last fold of each series."""
+    last = F.max("fold").over(series().partitionBy(*KEYS))
+    return splits.withColumn("_last", last).where("fold = _last").drop("_last")
+
+
 def evaluate_regimes(features: DataFrame, splits: DataFrame) -> DataFrame:
-    """Per fold and model (2 and 3 states, with and without covariates): convergence and stability over three starts."""
+    """Per fold and model (2 and 3 states): convergence, and stability over three starts. A hidden chain on the returns and their
+    volatility and slope is stable when the starts' states agree on `STABLE` of the rows; a switching model of the returns when
+    it converges."""
     schema = "asset string, model string, test_date timestamp, converged boolean, stable boolean, agreement double, loglik double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,22 +156,29 @@ def evaluate_regimes(features: DataFrame, splits: DataFrame) -> DataFrame:
             x = pdf[columns].to_numpy(float)
             x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12)
             for states in (2, 3):
-                fits = [E.fit_regimes(x, states, seed, steps=40) for seed in (42, 43, 44)]
+                fits = [E.fit_regimes(x, states, seed) for seed in (42, 43, 44)]
                 best = max(fits, key=lambda f: f["loglik"])
                 labels = E.filter_regimes(best, x).argmax(axis=1)
                 share = min(E.agreement(labels, E.filter_regimes(f, x).argmax(axis=1), states) for f in fits)
-                out.append((pdf["ticker"].iloc[0], f"{name}{states}", pdf["timestamp"].iloc[-1], best["converged"], share >= 0.9, share, best["loglik"]))
+                out.append((pdf["ticker"].iloc[0], f"{name}{states}", pdf["timestamp"].iloc[-1], best["converged"], share >= STABLE if name == "hmm" else best["converged"], share, best["loglik"]))
         return pd.DataFrame(out, columns=[c.rsplit(" ", 1)[0] for c in schema.split(", ")])
 
     return fold_rows(features, splits, REGIME_INPUTS).groupBy(*KEYS, "fold").applyInPandas(run, schema)
 
 
 def garch_filter(bars: DataFrame, mu: float, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
-    """Volatility of percent returns with fixed parameters, natively: a fold over each series' returns so far is one array pass."""
-    x = bars.withColumn("_e", (F.log("close") - F.log(F.lag("close").over(series()))) * 100 - mu)
-    rows = x.where("_e is not null").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bar_index", "_e"))).alias("_r"))
-    fold = f"aggregate(_r, named_struct('v', double({start!r}), 's', double({start!r}), 'out', cast(array() as array<struct<bar_index:int,v:double>>)), (a, x) -> named_struct('v', {omega!r} + {alpha!r} * a.s + {beta!r} * a.v, 's', x._e * x._e, 'out', array_append(a.out, named_struct('bar_index', x.bar_index, 'v', {omega!r} + {alpha!r} * a.s + {beta!r} * a.v))), a -> a.out)"
-    return rows.select(*KEYS, F.explode(F.expr(fold)).alias("o")).select(*KEYS, "o.bar_index", F.sqrt("o.v").alias("garch_vol_pct"))
+    """Volatility of percent returns with fixed parameters: one pass over each series, each variance from the one before."""
+    x = bars.withColumn("_e", (F.log("close") - F.log(F.lag("close").over(series()))) * 100 - mu).where("_e is not null")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        variance, shock, out = start, start, np.empty(len(pdf))
+        for i, e in enumerate(pdf["_e"].tolist()):
+            variance = omega + alpha * shock + beta * variance
+            shock = e * e
+            out[i] = variance
+        return pd.DataFrame({"ticker": pdf["ticker"], "timeframe": pdf["timeframe"], "bar_index": pdf["bar_index"], "garch_vol_pct": np.sqrt(out)})
+
+    return per_series(x.select(*KEYS, "bar_index", "_e"), run, "ticker string, timeframe string, bar_index int, garch_vol_pct double")
 
 
 def rolling_complexity(features: DataFrame, window: int = 100, bins: int = 10, order: int = 3) -> DataFrame:
@@ -322,16 +341,21 @@ def changepoint_robustness(points: DataFrame, settings: int = 9, gap_days: int =
 
 
 def changepoint_grid(features: DataFrame, penalties: tuple[float, ...] = (2.0, 3.0, 5.0), sizes: tuple[int, ...] = (10, 20, 30)) -> DataFrame:
-    """(ticker, signal, setting, date): change dates of volatility and slope under a grid of settings."""
+    """(ticker, signal, setting, date): change dates of returns, volatility and the filtered slope of a local linear trend under a
+    grid of settings. The trend is fitted on the whole series: a description of the past, not for use at earlier bars."""
     schema = "ticker string, signal string, setting string, date date"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for signal, column in (("rv20", "realized_volatility_20"), ("slope", "rolling_slope_20")):
+        pdf = pdf.assign(_trend=np.nan)
+        y = pdf["close"].to_numpy(float)
+        if len(y) > 3:
+            pdf["_trend"] = E.filter_trend(y, *E.fit_state(y, "local linear trend")["params"])[1]
+        for signal, column in (("returns", "log_return"), ("rv20", "realized_volatility_20"), ("kalman_slope", "_trend")):
             part = pdf.dropna(subset=[column])
             for p in penalties:
                 for size in sizes:
                     out += [(pdf["ticker"].iloc[0], signal, f"{p}/{size}", pd.Timestamp(part["timestamp"].iloc[i]).date()) for i in E.change_points(part[column].to_numpy(float), p, size)]
         return pd.DataFrame(out, columns=["ticker", "signal", "setting", "date"])
 
-    return per_series(features.select(*KEYS, "bar_index", "timestamp", "realized_volatility_20", "rolling_slope_20"), run, schema)
+    return per_series(features.select(*KEYS, "bar_index", "timestamp", "close", "log_return", "realized_volatility_20"), run, schema)

@@ -325,5 +325,5 @@ union all select ticker, 'swing_low', pli::int, i::int, pl, (i - pli)::int from
     "permutation_entropy": f"with {RET}, p as (select ticker, i, {LAG('r', 2)} as a, {LAG('r')} as b, r as c from ret), o as (select ticker, i, case when a is null then null when a <= b and b <= c then 0 when a <= c and c < b then 1 when b < a and a <= c then 2 when c < a and a <= b then 3 when b <= c and c < a then 4 else 5 end as k from p), n as (select x.ticker, x.i, y.k, count(*) as n from o x join o y on y.ticker = x.ticker and y.i between x.i - 97 and x.i and y.k is not null where x.i >= 100 group by all), e as (select ticker, i, -sum(n / 98 * ln(n / 98)) / ln(6) as pe from n group by all) select b.ticker, b.i as bar_index, round(pe, 6) as permutation_entropy from bars b left join e on e.ticker = b.ticker and e.i = b.i",
     "state_statistics": f"with {HAR}, x as (select ticker, case when rv > 0.02 then 1 else 0 end as state, r, rv, {full('regr_slope(c, i::double)', 'c', 20)} as sl from har), y as (select * from x where rv is not null), g as (select ticker, state, avg(r) as m, avg(rv) as v, avg(sl) as s, count(*) as n from y group by all), t as (select *, greatest(stddev_pop(m) over (partition by ticker) * 0.25, 1e-5) as tol, row_number() over (partition by ticker order by v, state) as rk, count(*) over (partition by ticker) as k from g) select ticker, state, round(m, 6) as mean_return, round(v, 6) as volatility, round(s, 6) as mean_slope, round(1 / (1 - 0.9::double), 6) as avg_duration, n as observations, case when m > tol then 'positive' when m < -tol then 'negative' else 'neutral' end as trend_description, case when rk = 1 then 'low' when rk = k then 'high' else 'middle' end as volatility_description from t",
     "regime_changes": f"with {HAR}, x as (select ticker, i, case when rv > 0.02 then 1 else 0 end as state from har where rv is not null), y as (select *, {LAG('state')} as p from x) select ticker, i as bar_index, state from y where p is not null and p <> state",
-    "prefix_check": f"with {BARS} select ticker, i as bar_index, '' as structural_state, 0.0::double as last_high, 0.0::double as last_low, '' as side from bars where false",
+    "prefix_check": "select ''::varchar as ticker, 0 as bar_index, ''::varchar as pattern_name, ''::varchar as state, 0 as episode_id, 0.0::double as score, ''::varchar as side, 0 as cut where false",
 }

@@ -427,13 +427,13 @@ def q_fold_kalman(s, d):
 
 def q_fold_regimes(s, d):
     b = walk_bars(s, d)
-    return models.evaluate_regimes(_stats(b), _splits(b))
+    return models.evaluate_regimes(_stats(b), models.last_folds(_splits(b)))
 
 
 def q_fold_stability(s, d):
     b = walk_bars(s, d)
     k = scores.kalman_stability(models.evaluate_kalman(b, _splits(b))).select("component", "stability_score")
-    r = scores.regime_stability(models.evaluate_regimes(_stats(b), _splits(b))).select("component", "stability_score")
+    r = scores.regime_stability(models.evaluate_regimes(_stats(b), models.last_folds(_splits(b)))).select("component", "stability_score")
     return k.unionByName(r).unionByName(scores.changepoint_stability(models.changepoint_robustness(models.changepoint_grid(_stats(b)))))
 
 
@@ -560,8 +560,13 @@ def q_structure_snapshot(s, d):
 
 
 def q_prefix_check(s, d):
-    run = lambda b: structure.structure_asof(b, _swings(b)).select("ticker", "bar_index", "structural_state", "last_high", "last_low")
-    return engine.prefix_differences(run, walk_bars(s, d).drop("session_date"), 400)
+    """The engine on bars up to several cuts, against the whole run: what it said must not change when bars are added."""
+
+    def run(b):
+        r = engine.run_pattern_engine(b, "1Day", fixtures.benchmark(b))
+        return rounded(r.results, ["ticker", "bar_index", "pattern_name"], ["state", "episode_id", "score"])
+
+    return engine.prefix_differences_at(run, walk_bars(s, d).drop("session_date"), (400, 900))
 
 
 def q_tick_bars(s, d):
