@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from barograph.functions.scalars import headline_score, ny_clock
 from barograph.operators import features as X
 from barograph.operators.resample import bars_from_ticks
 from barograph.sources.readers import ticks, walk_bars
+from barograph.sources.scratch import scratch_dir
+from barograph.sources.sinks import write
 
 C = F.col
 BENCHMARK = "AMERICA"
@@ -83,3 +87,21 @@ def at(moment: str):
 
 def close_of(bars: DataFrame) -> DataFrame:
     return bars.withColumn("close_time", ny_clock(C("session_date"), 16))
+
+
+def damaged(bars: DataFrame) -> DataFrame:
+    """bars with faults of every kind that a quality check knows, at fixed places."""
+    at = lambda k, r: C("bar_index") % k == r
+    before = F.lag("timestamp").over(X.series())
+    x = bars.withColumn("timestamp", F.when(at(83, 5), before).when(at(79, 9), before - F.expr("interval 2 days")).otherwise(C("timestamp")))
+    return x.withColumns({
+        "high": F.when(at(97, 13), None).when(at(101, 7), C("low") - 1).otherwise(C("high")), "low": F.when(at(103, 11), C("high") + 1).otherwise(C("low")),
+        "volume": F.when(at(89, 3), -1.0).otherwise(C("volume")),
+    })
+
+
+def written(df: DataFrame, name: str, kind: str) -> str:
+    """The path of df written by a sink to a folder of its own in the scratch folder."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write(df, path, kind)
+    return path

@@ -264,7 +264,10 @@ select ticker, i as bar_index, coalesce(eb.s, 'inactive') as breakout_state, cas
     "gaps": bars_query("ticker, seen as bar_index, gap as gap_index, type, round(size_abs, 6) as size_abs, round(size_pct, 6) as size_pct, round(size_atr, 6) as size_atr, filled, wait as time_to_fill_bars, state", "gaps", GAPS),
     "gap_filter": f"with {GAPS}, k as (select ticker, gap, type from gaps where state = 'unfilled_gap' and size_pct >= 0.005 and size_atr >= 0.5) select b.ticker, b.i as bar_index, exists (select 1 from k where k.ticker = b.ticker and type = 'gap_up' and gap between b.i - 2 and b.i) as gap_up_recent, exists (select 1 from k where k.ticker = b.ticker and type = 'gap_down' and gap between b.i - 2 and b.i) as gap_down_recent from bars b",
     "gap_counts": bars_query("ticker, count(*) as gaps_detected, count(*) filter (size_pct >= 0.005 and size_atr >= 0.5) as gaps_kept, count(*) - count(*) filter (size_pct >= 0.005 and size_atr >= 0.5) as gaps_discarded", "gaps", GAPS, "where state = 'unfilled_gap' group by ticker"),
-    "check_bars": bars_query("ticker, count(*) as bars, count(*) filter (o is null or h is null or l is null or c is null or v is null) as null_rows, 0 as duplicate_timestamps, 0 as out_of_order, count(*) filter (h < greatest(o, c, l)) as high_too_low, count(*) filter (l > least(o, c, h)) as low_too_high, count(*) filter (v < 0) as negative_volume", tail="group by ticker"),
+    "check_bars": f"""with {BARS}, t as (select *, case when i % 83 = 5 then {LAG('ts')} when i % 79 = 9 then {LAG('ts')} - interval 2 days else ts end as t from bars),
+x as (select *, {LAG('t')} as before, case when i % 97 = 13 then null when i % 101 = 7 then l - 1 else h end as hh from t), y as (select *, case when i % 103 = 11 then h + 1 else l end as ll, case when i % 89 = 3 then -1 else v end as vv from x)
+select ticker, count(*) as bars, count(*) filter (o is null or hh is null or ll is null or c is null or vv is null or t is null) as null_rows, count(*) filter (t = before) as duplicate_timestamps, count(*) filter (t < before) as out_of_order, count(*) filter (hh < greatest(o, c, ll)) as high_too_low,
+  count(*) filter (ll > least(o, c, hh)) as low_too_high, count(*) filter (vv < 0) as negative_volume from y group by ticker""",
     "check_feature_input": bars_query("ticker, count(*) filter (c is null or c <= 0) as bad_close, 0 as bad_timestamp", tail="group by ticker"),
     "range_filter": bars_query("ticker, i as bar_index, o as open, h as high, l as low, c as close, v as volume", tail="where ts >= timestamp '1995-01-01' and ts < timestamp '1996-01-01'"),
     "session_bars": f"with {ticks(15)} select ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, round(o, 4) as open, round(h, 4) as high, round(l, 4) as low, round(c, 4) as close, round(v, 4) as volume from nb where hour(ny) * 60 + minute(ny) between 570 and 959",
@@ -327,3 +330,17 @@ union all select ticker, 'swing_low', pli::int, i::int, pl, (i - pli)::int from
     "regime_changes": f"with {HAR}, x as (select ticker, i, case when rv > 0.02 then 1 else 0 end as state from har where rv is not null), y as (select *, {LAG('state')} as p from x) select ticker, i as bar_index, state from y where p is not null and p <> state",
     "prefix_check": "select ''::varchar as ticker, 0 as bar_index, ''::varchar as pattern_name, ''::varchar as state, 0 as episode_id, 0.0::double as score, ''::varchar as side, 0 as cut where false",
 }
+_ohlcv = lambda name: f"""select '{name}' as kind, ticker, "at", open, high, low, close, volume from"""
+_NORMALIZE = {
+    "15Min regular": SQL["session_bars"], "1Hour regular": SQL["intraday_1h"], "4Hour regular": SQL["intraday_4h"],
+    "1Hour extended": f"with {ticks(60)} select ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, round(o, 4) as open, round(h, 4) as high, round(l, 4) as low, round(c, 4) as close, round(v, 4) as volume from nb where hour(ny) * 60 + minute(ny) between 240 and 1199",
+    "4Hour extended": SQL["intraday_extended_4h"], "1Day regular": bars_query("ticker, strftime(ts, '%Y-%m-%d %H:%M') as at, o as open, h as high, l as low, c as close, v as volume"), "1Week regular": SQL["weekly"],
+}
+SQL |= {
+    "normalize": " union all ".join(f"{_ohlcv(name)} ({sql})" for name, sql in _NORMALIZE.items()),
+    "raw_bars": bars_query("ticker, session_date::varchar as day, o as open, h as high, l as low, c as close, v as volume", tail="where ticker = 'ASIA' and i % 3 = 0 and ts >= timestamp '1995-06-01' and ts < timestamp '1998-03-01 05:00:00'"),
+    "macro_files": f"with {MACRO} select series, d::varchar as day, strftime(av, '%Y-%m-%d') as available, round(value, 6) as value, 'WALCL' as source, 'USD millions' as unit, true as asof_safe from mac where series = 'fed_assets' and value % 5 <> 0 union all select 'rrp', d::varchar, '2002-01-01', round(value, 6), 'RRPONTSYD', 'USD billions', false from mac where series = 'fed_assets' and value % 5 <> 0 and day(d) < 9",
+    "vix_file": f"with {VIX} select d::varchar as day, round(vix, 6) as vix from vx",
+    "news_file": f"with {NEWS} select ticker, strftime(pub, '%Y-%m-%d %H:%M') as published, strftime(case when doc_id % 3 > 0 then av else pub end, '%Y-%m-%d %H:%M') as available, round(score, 9) as score from news",
+    "forecast_file": f"with {FORECASTS} select asset, model, count(*) as n, round(avg(abs(f - a)), 9) as mae, round(sqrt(avg((f - a) * (f - a))), 9) as rmse, round(stddev_samp(f - a), 9) as error_std from fc group by all",
+}

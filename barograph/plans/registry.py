@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.functions import scalars
 from barograph.operators import context, features, joins, models, resample, scores, structure, validate
 from barograph.plans import engine, evidence, fixtures
+from barograph.sources import readers
 from barograph.sources.readers import ticks, walk_bars
 
 C = F.col
@@ -185,7 +188,7 @@ def q_gap_counts(s, d):
 
 
 def q_check_bars(s, d):
-    return validate.check_bars(walk_bars(s, d)).drop("timeframe")
+    return validate.check_bars(fixtures.damaged(walk_bars(s, d))).drop("timeframe")
 
 
 def q_check_feature_input(s, d):
@@ -252,6 +255,61 @@ def q_check_aggregates(s, d):
     return validate.check_aggregates(coarse, b, ["ticker", "week"])
 
 
+def q_normalize(s, d):
+    """Every timeframe and session through the dispatch, from the timeframe that readers.source_timeframe() names."""
+    day, out = walk_bars(s, d), []
+    first, last = _request(day)
+    for timeframe, session in (("15Min", "regular"), ("1Hour", "regular"), ("4Hour", "regular"), ("1Hour", "extended"), ("4Hour", "extended"), ("1Day", "regular"), ("1Week", "regular")):
+        source = readers.source_timeframe(timeframe, session)
+        bars = day if source == "1Day" else fixtures.intraday(s, d, 15 if source == "15Min" else 60)
+        x = resample.normalize(bars, timeframe, session, first, last)
+        x = x.withColumns({"kind": F.lit(f"{timeframe} {session}"), "at": F.date_format("timestamp", "yyyy-MM-dd HH:mm")})
+        out.append(rounded(x, ["kind", "ticker", "at"], ["open", "high", "low", "close", "volume"], 4))
+    return reduce(DataFrame.unionByName, out)
+
+
+def q_raw_bars(s, d):
+    """Bars written as files of two feeds and read back for one symbol, feed and inclusive range, then cut to [start, end)."""
+    feed = F.when(C("bar_index") % 3 == 0, "sip").otherwise("iex")
+    path = fixtures.written(walk_bars(s, d).select(C("ticker").alias("symbol"), "timestamp", "open", "high", "low", "close", "volume", feed.alias("feed"), "timeframe"), "raw", "parquet")
+    raw = readers.raw_bars(s, path, "asia", "1Day", "1995-03-01", "1998-03-01 05:00:00", "sip")
+    x = readers.normalized_frame(raw, "1995-06-01", "1998-03-01 05:00:00")
+    return x.select("ticker", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume")
+
+
+def q_macro_files(s, d):
+    """Vintages from JSON lines and current revisions from CSV; rows without a number go."""
+    m = fixtures.macro(s, d).where("series = 'fed_assets'")
+    day = F.date_format("observation_date", "yyyy-MM-dd").alias("date")
+    release = F.date_format(C("available_at") - F.expr("interval 1 day"), "yyyy-MM-dd").alias("realtime_start")
+    value = F.when(C("value") % 5 == 0, ".").otherwise(C("value").cast("string")).alias("value")
+    vintages = readers.macro_vintages(s, fixtures.written(m.select(day, release, value), "vintages", "json"), "fed_assets")
+    current = readers.macro_revisions(s, fixtures.written(m.where(F.dayofmonth("observation_date") < 9).select(day, value), "revisions", "csv"), "rrp", "2002-01-01")
+    x = vintages.unionByName(current)
+    return x.select("series", F.date_format("observation_date", "yyyy-MM-dd").alias("day"), F.date_format("available_at", "yyyy-MM-dd").alias("available"), F.round("value", 6).alias("value"), "source", "unit", "asof_safe")
+
+
+def q_vix_file(s, d):
+    """Closes from CSV with dates that repeat."""
+    x = fixtures.vix(s, d).select(F.date_format("observation_date", "MM/dd/yyyy").alias("Date"), C("vix").alias("VIX Close"))
+    twice = x.unionByName(x.where("substring(Date, 4, 2) = '07'").withColumn("VIX Close", C("VIX Close") - 1))
+    return readers.vix_closes(s, fixtures.written(twice, "vix", "csv")).select(F.date_format("observation_date", "yyyy-MM-dd").alias("day"), F.round("vix", 6).alias("vix"))
+
+
+def q_news_file(s, d):
+    """News from JSON lines, available when last touched, scored from its headline."""
+    x = fixtures.news(s, d).select("ticker", "headline", F.lit("").alias("summary"), F.lit("wire").alias("source"), C("published_at").alias("created_at"), F.when(C("doc_id") % 3 > 0, C("available_at")).alias("updated_at"))
+    got = readers.news(s, fixtures.written(x, "news", "json"))
+    return got.select("ticker", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), F.date_format("available_at", "yyyy-MM-dd HH:mm").alias("available"), F.round("score", 9).alias("score"))
+
+
+def q_forecast_file(s, d):
+    """Forecast rows written as CSV, read with their schema and scored."""
+    x = fixtures.forecasts(s, d)
+    path = fixtures.written(x.select("asset", "model", F.lit(None).cast("timestamp").alias("train_start"), F.lit(None).cast("timestamp").alias("train_end"), C("test_date").cast("timestamp").alias("test_date"), "forecast", "actual", "error", "parameter"), "forecasts", "csv")
+    return rounded(scores.score_rows(readers.forecasts(s, path), "return"), ["asset", "model"], ["n", "mae", "rmse", "error_std"], 9)
+
+
 def q_close_times(s, d):
     day = resample.close_times(walk_bars(s, d).drop("close_time"), "1Day").select("ticker", F.lit("1Day").alias("kind"), F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("at"), F.date_format("close_time", "yyyy-MM-dd HH:mm").alias("closes"))
     hour = resample.close_times(fixtures.intraday(s, d, 60), "1Hour").select("ticker", F.lit("1Hour").alias("kind"), F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("at"), F.date_format("close_time", "yyyy-MM-dd HH:mm").alias("closes"))
