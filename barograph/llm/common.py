@@ -47,13 +47,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the order of stashes, for discard()."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables stashed from mark() `since` on but for the last `keep`: for when only those are still read."""
+    gone = _written[since : len(_written) - keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

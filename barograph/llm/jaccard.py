@@ -31,6 +31,10 @@ SMALL = 6
 CHUNK = 1024
 #: One document in SCAN is looked at for frequent segments: those in more than FREQUENT of them.
 SCAN, FREQUENT = 16, 0.0005
+#: Frequent segments that tasks are told of, at most.
+MOST = 500_000
+#: Parts that the documents of a segment are dealt into where they meet what is known of the segment.
+SALTS = 16
 #: Pairs of one document that are verified in one unit.
 UNIT = 48
 _U = np.uint64
@@ -204,13 +208,13 @@ def sketch_rows(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
 
 
 def frequent_segments(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Segments in more than FREQUENT of some documents (at most the segments of a document over FREQUENT), with ranks 1 to 254.
+    """Segments in more than FREQUENT of some documents, the MOST most frequent, with ranks 1 to 254.
 
     They only change the order in which segments are sent; which documents are looked at changes no result.
     """
     some = docs.where(F.pmod(F.xxhash64("_d"), F.lit(SCAN)) == 0)
     least = max(3, FREQUENT * some.count())
-    found = sketch_rows(some, rule, None).groupBy("key").count().where(F.col("count") >= least).collect()
+    found = sketch_rows(some, rule, None).groupBy("key").count().where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST).collect()
     keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     ranks = np.minimum(np.log2(np.array([r["count"] for r in found], np.float64) + 1) * 8, 254)
@@ -377,7 +381,8 @@ def second_pairs(edges: DataFrame, labels: DataFrame, profile: DataFrame, rule:
     x = wide.select("key", F.col("b").alias("_d")).unionByName(wide.select("key", F.col("a").alias("_d")).distinct())
     x = x.join(tags, "_d", "left").withColumn("component", F.coalesce("component", "_d"))
     open_keys = x.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / CHUNK).alias("_chunks")).where("_lo <> _hi").select("key", "_chunks")
-    x = x.join(open_keys, "key").join(profile, "_d")
+    parts = open_keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a segment may hold a third of all documents
+    x = x.withColumn("_salt", F.pmod(F.xxhash64("_d"), F.lit(SALTS)).cast("int")).join(parts, ["key", "_salt"]).join(profile, "_d")
     x = x.withColumn("_copy", F.explode(F.sequence(F.lit(-1).cast("long"), F.col("_chunks") - 1)))  # -1: indexed in its own chunk
     own = F.pmod(F.xxhash64("_d"), F.col("_chunks"))
     x = x.select("key", F.when(F.col("_copy") < 0, own).otherwise(F.col("_copy")).alias("chunk"), (F.col("_copy") >= 0).alias("probe"), "_d", "component", "n", "sketch")
