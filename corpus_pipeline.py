@@ -87,6 +87,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
+    before = C.mark()
     for name, stage in STAGES[:-1]:
         docs = C.stash(stage(spark, docs, sf_dir), name)
+        C.discard(spark, before)  # a stage's result is all that the next one reads
     return STAGES[-1][1](spark, docs, sf_dir)
