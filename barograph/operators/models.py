@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barograph.operators import estimators as E
 from barograph.operators.features import statistical_features
-from barograph.operators.structure import per_series
+from barograph.operators.structure import dealt, per_series
 from barograph.operators.windows import KEYS, guarded, prior, ratio, series
 from barograph.plans.evidence import QUANT, quant_types
 
@@ -84,7 +84,7 @@ def evaluate_returns(features: DataFrame, splits: DataFrame) -> DataFrame:
         first, last = pdf["timestamp"].iloc[0], pdf["timestamp"].iloc[-2]
         return pd.DataFrame([(pdf["ticker"].iloc[0], m, first, last, pdf["timestamp"].iloc[-1], f, actual, f - actual, p) for m, f, p in found], columns=FORECAST_COLUMNS)
 
-    return fold_rows(features, splits, ["log_return"]).groupBy(*KEYS, "fold").applyInPandas(run, FORECASTS)
+    return dealt(fold_rows(features, splits, ["log_return"]), *KEYS, "fold").groupBy(*KEYS, "fold").applyInPandas(run, FORECASTS)
 
 
 FORECASTS = "asset string, model string, train_start timestamp, train_end timestamp, test_date timestamp, forecast double, actual double, error double, parameter string"
@@ -115,7 +115,7 @@ def evaluate_volatility(features: DataFrame, splits: DataFrame) -> DataFrame:
         first, last = pdf["timestamp"].iloc[0], pdf["timestamp"].iloc[-2]
         return pd.DataFrame([(pdf["ticker"].iloc[0], m, first, last, pdf["timestamp"].iloc[-1], f, actual, f - actual, p) for m, f, p in found], columns=FORECAST_COLUMNS)
 
-    return fold_rows(features, splits, ["log_return", "realized_volatility_20"]).groupBy(*KEYS, "fold").applyInPandas(run, FORECASTS)
+    return dealt(fold_rows(features, splits, ["log_return", "realized_volatility_20"]), *KEYS, "fold").groupBy(*KEYS, "fold").applyInPandas(run, FORECASTS)
 
 
 def evaluate_kalman(bars: DataFrame, splits: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def evaluate_kalman(bars: DataFrame, splits: DataFrame) -> DataFrame:
             out.append((pdf["ticker"].iloc[0], spec, pdf["timestamp"].iloc[-1], float(innovation), fit["converged"], fit["boundary"]))
         return pd.DataFrame(out, columns=[c.rsplit(" ", 1)[0] for c in schema.split(", ")])
 
-    return fold_rows(bars, splits, ["close"]).groupBy(*KEYS, "fold").applyInPandas(run, schema)
+    return dealt(fold_rows(bars, splits, ["close"]), *KEYS, "fold").groupBy(*KEYS, "fold").applyInPandas(run, schema)
 
 
 #: Share of rows whose states must agree between starts.
@@ -163,7 +163,7 @@ def evaluate_regimes(features: DataFrame, splits: DataFrame) -> DataFrame:
                 out.append((pdf["ticker"].iloc[0], f"{name}{states}", pdf["timestamp"].iloc[-1], best["converged"], share >= STABLE if name == "hmm" else best["converged"], share, best["loglik"]))
         return pd.DataFrame(out, columns=[c.rsplit(" ", 1)[0] for c in schema.split(", ")])
 
-    return fold_rows(features, splits, REGIME_INPUTS).groupBy(*KEYS, "fold").applyInPandas(run, schema)
+    return dealt(fold_rows(features, splits, REGIME_INPUTS), *KEYS, "fold").groupBy(*KEYS, "fold").applyInPandas(run, schema)
 
 
 def garch_filter(bars: DataFrame, mu: float, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
@@ -277,7 +277,7 @@ def quant_context(bars: DataFrame, min_train: int = 252, every: int = 63, lag: i
         done = pd.DataFrame({"ticker": pdf["ticker"], "timeframe": pdf["timeframe"], "bar_index": index, "quant_fit_index": fit_at, **out})
         return done[index >= fit_at]
 
-    fitted = rows.groupBy(*KEYS, "fit_index").applyInPandas(run, schema)
+    fitted = dealt(rows, *KEYS, "fit_index").groupBy(*KEYS, "fit_index").applyInPandas(run, schema)
     x = bars.select(*KEYS, "bar_index").join(fitted, [*KEYS, "bar_index"], "left")
     clean = {c: F.nanvl(c, F.lit(None).cast("double")) for c, t in quant_types().items() if t == "double" and c in fitted.columns}
     x = x.withColumns(clean)

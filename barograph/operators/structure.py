@@ -6,6 +6,7 @@ method. A row counts from its confirmation_index on.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
@@ -27,9 +28,15 @@ LEVELS = (
 GAPS = "ticker string, timeframe string, bar_index int, timestamp timestamp, gap_index int, gap_timestamp timestamp, type string, size_abs double, size_pct double, size_atr double, filled boolean, time_to_fill_bars int, state string"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into as many parts as the session's shuffles have: groups that cost much more time than their bytes show
+    would otherwise be put together in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def per_series(df: DataFrame, function, schema: str) -> DataFrame:
-    """function(pandas frame of one series in bar order) for every (ticker, timeframe). A task holds one series."""
-    return df.groupBy(*KEYS).applyInPandas(lambda pdf: function(pdf.sort_values("bar_index", kind="stable").reset_index(drop=True)), schema)
+    """function(pandas frame of one series in bar order) for every (ticker, timeframe). A task holds one series at a time."""
+    return dealt(df, *KEYS).groupBy(*KEYS).applyInPandas(lambda pdf: function(pdf.sort_values("bar_index", kind="stable").reset_index(drop=True)), schema)
 
 
 # --- swings -----------------------------------------------------------------------------------------------------------
@@ -121,36 +128,74 @@ def structure_asof(bars: DataFrame, swings: DataFrame, change_bars: int = 10) ->
 # --- levels -----------------------------------------------------------------------------------------------------------
 
 
+#: Bars whose level sets one task works out at a time.
+BLOCK = 256
+
+
 def cluster(prices: np.ndarray, tolerance: float) -> np.ndarray:
-    """Group number of each of the ascending prices: one joins the last group while within `tolerance` of its running mean."""
-    group, number, total, count = np.empty(len(prices), np.int64), -1, 0.0, 0
-    for i, p in enumerate(prices.tolist()):
-        if count and p - total / count <= tolerance:
-            total, count = total + p, count + 1
-        else:
-            number, total, count = number + 1, p, 1
-        group[i] = number
-    return group
+    """First members of the groups of ascending prices: one joins the last group while within `tolerance` of its running mean.
+
+    A step of more than `tolerance` always begins a group, as the mean is at most the price before; only what lies between
+    such steps is looked at one by one.
+    """
+    starts = np.flatnonzero(np.append(True, np.diff(prices) > tolerance))
+    size = np.diff(np.append(starts, len(prices)))
+    more = []
+    for lo, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        total, count = prices[lo].item(), 1
+        for i in range(lo + 1, lo + n):
+            p = prices[i].item()
+            if p - total / count <= tolerance:
+                total, count = total + p, count + 1
+            else:
+                more.append(i)
+                total, count = p, 1
+    return np.sort(np.concatenate([starts, np.array(more, np.int64)])) if more else starts
+
+
+def running_median(bars: DataFrame, column: str, name: str) -> DataFrame:
+    """(series, bar_index, name): the median of a column's values so far, from a sorted list that grows by one a bar."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        so_far: list[float] = []
+        out = np.full(len(pdf), np.nan)
+        for i, v in enumerate(pdf[column].tolist()):
+            if v is not None and v == v:
+                bisect.insort(so_far, v)
+            if so_far:
+                n = len(so_far)
+                out[i] = (so_far[(n - 1) // 2] + so_far[n // 2]) / 2
+        return pd.DataFrame({"ticker": pdf["ticker"], "timeframe": pdf["timeframe"], "bar_index": pdf["bar_index"], name: out})
+
+    return per_series(bars.select(*KEYS, "bar_index", column), run, f"ticker string, timeframe string, bar_index int, {name} double")
 
 
 def levels_history(bars: DataFrame, swings: DataFrame, atr_tolerance: float = 0.5, pct_tolerance: float = 0.005, touches: int = 2, every: int = 1) -> DataFrame:
     """Level sets as of every bar (or every `every`-th): clusters of the swings known then, within max(tolerances) of that bar.
 
-    Sequential in prices, so a grouped map per series; ATR and the expanding volume median come from windows.
+    Sequential in prices, so a grouped map, over (series, block of BLOCK bars): each block gets the swings confirmed by its end,
+    so that a long series is many tasks. ATR comes from windows, the volume's median so far from one pass.
     """
-    x = with_atr(bars, 14, "_atr").withColumn("_base", F.percentile("volume", F.lit(0.5)).over(series().rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.select(*KEYS, "bar_index", "timestamp", "close", "volume", "_atr", "_base", F.lit(None).cast("double").alias("price_level"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("confirmation_index"), F.lit(None).cast("timestamp").alias("confirmed_at"))
-    s = swings.select(*KEYS, "bar_index", "timestamp", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("volume"), F.lit(None).cast("double").alias("_atr"), F.lit(None).cast("double").alias("_base"), "price_level", "type", "confirmation_index", "confirmed_at")
+    block = lambda c: F.floor(C(c) / BLOCK).cast("int")
+    x = with_atr(bars, 14, "_atr").select(*KEYS, C("bar_index").cast("int").alias("bar_index"), "timestamp", "close", "volume", "_atr").join(running_median(bars, "volume", "_base"), [*KEYS, "bar_index"])
+    end = bars.groupBy(*KEYS).agg(F.max("bar_index").alias("_end"))
+    s = swings.join(bars.select(*KEYS, "bar_index", "volume"), [*KEYS, "bar_index"]).join(end, KEYS).where(C("confirmation_index") <= C("_end"))
+    s = s.withColumn("_block", F.explode(F.sequence(block("confirmation_index"), block("_end"))))
+    names = ["bar_index", "timestamp", "close", "volume", "_atr", "_base", "price_level", "type", "confirmation_index", "confirmed_at", "_block"]
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    x = x.withColumn("_block", block("bar_index")).select(*KEYS, *names[:6], empty("price_level", "double"), empty("type", "string"), empty("confirmation_index", "int"), empty("confirmed_at", "timestamp"), "_block")
+    s = s.select(*KEYS, C("bar_index").cast("int").alias("bar_index"), "timestamp", empty("close", "double"), "volume", empty("_atr", "double"), empty("_base", "double"), *names[6:])
+    columns = [c.split()[0] for c in LEVELS.split(", ")]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf[pdf["price_level"].isna()].reset_index(drop=True)
-        k = pdf[pdf["price_level"].notna()].sort_values(["bar_index", "type"], kind="stable").sort_values("price_level", kind="stable")
-        close, volume, scale, base, index = (b[c].to_numpy(float) for c in ("close", "volume", "_atr", "_base", "bar_index"))
-        price, confirmed, pivot = k["price_level"].to_numpy(float), k["confirmation_index"].to_numpy(int), k["bar_index"].to_numpy(int)
-        high, seen, known_at = k["type"].to_numpy() == "swing_high", k["timestamp"].to_numpy(), k["confirmed_at"].to_numpy()
-        first = int(index[0]) if len(index) else 0
-        pivot_volume = volume[pivot - first] if len(pivot) else pivot.astype(float)
-        out = []
+        b = pdf[pdf["price_level"].isna()].sort_values("bar_index").reset_index(drop=True)
+        k = pdf[pdf["price_level"].notna()].sort_values(["price_level", "bar_index", "type"], kind="stable")
+        if not len(b) or not len(k):
+            return pd.DataFrame(columns=columns)
+        close, scale, base, index = (b[c].to_numpy(float) for c in ("close", "_atr", "_base", "bar_index"))
+        price, confirmed, pivot_volume = k["price_level"].to_numpy(float), k["confirmation_index"].to_numpy(int), k["volume"].to_numpy(float)
+        high, seen, known_at = (k["type"].to_numpy() == "swing_high").astype(int), k["timestamp"].to_numpy(), k["confirmed_at"].to_numpy()
+        out: dict[str, list] = {c: [] for c in ("bar", "price_level", "type", "touch_count", "first_touch", "last_touch", "distance_from_current_price", "strength_score", "available_at")}
         for i in range(len(b)):
             if every > 1 and int(index[i]) % every:
                 continue
@@ -159,27 +204,35 @@ def levels_history(bars: DataFrame, swings: DataFrame, atr_tolerance: float = 0.
                 continue
             tolerance = max(0.0 if np.isnan(scale[i]) else scale[i] * atr_tolerance, close[i] * pct_tolerance)
             p = price[known]
-            cut = np.flatnonzero(np.diff(cluster(p, tolerance), prepend=-1))
+            cut = cluster(p, tolerance)
             size = np.diff(np.append(cut, len(p)))
             keep = size >= touches
             if not keep.any():
                 continue
-            highs = np.add.reduceat(high[known].astype(int), cut)
-            last = np.maximum.reduceat(confirmed[known], cut)
-            mean = np.round(np.add.reduceat(p, cut) / size, 9)  # so that a mean that equals a close is equal to it
-            factor = np.minimum(np.add.reduceat(pivot_volume[known], cut) / size / base[i], 2) if base[i] > 0 else np.ones(len(cut))
+            highs = np.add.reduceat(high[known], cut)[keep]
+            last = np.maximum.reduceat(confirmed[known], cut)[keep]
+            mean = np.round((np.add.reduceat(p, cut) / size)[keep], 9)  # so that a mean that equals a close is equal to it
+            volume = np.add.reduceat(pivot_volume[known], cut)[keep]
+            size = size[keep]
+            factor = np.minimum(volume / size / base[i], 2) if base[i] > 0 else np.ones(len(size))
             strength = np.log1p(size) / (1 + (index[i] - last) / 20) * factor
-            kind = np.where(highs == size, "resistance", np.where(highs == 0, "support", "mixed"))
-            out.append(pd.DataFrame({
-                "asof_index": int(index[i]), "asof_timestamp": b["timestamp"].iloc[i], "price_level": mean[keep], "type": kind[keep], "touch_count": size[keep],
-                "first_touch": np.minimum.reduceat(seen[known], cut)[keep], "last_touch": np.maximum.reduceat(seen[known], cut)[keep],
-                "distance_from_current_price": mean[keep] / close[i] - 1, "strength_score": np.round(strength[keep], 4), "available_at": np.maximum.reduceat(known_at[known], cut)[keep]}))
-        if not out:
-            return pd.DataFrame(columns=[c.split()[0] for c in LEVELS.split(", ")])
-        done = pd.concat(out, ignore_index=True)
-        return done.assign(ticker=pdf["ticker"].iloc[0], timeframe=pdf["timeframe"].iloc[0])[[c.split()[0] for c in LEVELS.split(", ")]]
-
-    return per_series(x.unionByName(s), fold, LEVELS)
+            out["bar"].append(np.full(len(size), i))
+            out["price_level"].append(mean)
+            out["type"].append(np.where(highs == size, "resistance", np.where(highs == 0, "support", "mixed")))
+            out["touch_count"].append(size)
+            out["first_touch"].append(np.minimum.reduceat(seen[known], cut)[keep])
+            out["last_touch"].append(np.maximum.reduceat(seen[known], cut)[keep])
+            out["distance_from_current_price"].append(mean / close[i] - 1)
+            out["strength_score"].append(np.round(strength, 4))
+            out["available_at"].append(np.maximum.reduceat(known_at[known], cut)[keep])
+        if not out["bar"]:
+            return pd.DataFrame(columns=columns)
+        done = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+        at = done.pop("bar").to_numpy()
+        done = done.assign(asof_index=index[at].astype(int), asof_timestamp=b["timestamp"].to_numpy()[at], ticker=pdf["ticker"].iloc[0], timeframe=pdf["timeframe"].iloc[0])
+        return done[columns]
+
+    return dealt(x.unionByName(s), *KEYS, "_block").groupBy(*KEYS, "_block").applyInPandas(fold, LEVELS)
 
 
 def levels_asof(bars: DataFrame, swings: DataFrame, at: Column, **options) -> DataFrame:

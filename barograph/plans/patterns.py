@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barograph.functions.scalars import any_true
+from barograph.operators.structure import dealt
 from barograph.operators.windows import KEYS, lag, last
 from barograph.plans.evidence import INDICATORS, events_by_bar, pivots_by_bar
 from barograph.sources.scratch import stash
@@ -323,7 +324,7 @@ def track(observed: DataFrame) -> DataFrame:
         rows = run_machine(pdf.to_dict("records"), MACHINES[pdf["pattern_family"].iloc[0]])
         return pd.DataFrame(rows).assign(ticker=pdf["ticker"], timeframe=pdf["timeframe"], pattern_name=pdf["pattern_name"], bar_index=pdf["bar_index"])[[c.split()[0] for c in MACHINE_OUT.split(", ")]]
 
-    states = inputs.groupBy(*KEYS, "pattern_name").applyInPandas(run, MACHINE_OUT)
+    states = dealt(inputs, *KEYS, "pattern_name").groupBy(*KEYS, "pattern_name").applyInPandas(run, MACHINE_OUT)
     return observed.drop("hooks", "required_ok", "memory_now").join(states, [*KEYS, "pattern_name", "bar_index"])
 
 
