@@ -139,8 +139,8 @@ STABLE = 0.8
 
 def last_folds(splits: DataFrame) -> DataFrame:
     """The last fold of each series."""
-    last = F.max("fold").over(series().partitionBy(*KEYS))
-    return splits.withColumn("_last", last).where("fold = _last").drop("_last")
+    last = splits.groupBy(*KEYS).agg(F.max("fold").alias("fold"))
+    return splits.join(last, [*KEYS, "fold"], "left_semi")
 
 
 def evaluate_regimes(features: DataFrame, splits: DataFrame) -> DataFrame:
