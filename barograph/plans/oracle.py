@@ -292,7 +292,7 @@ select ticker, count(*) as bars, count(*) filter (o is null or hh is null or ll
 v as (select * from vx where av <= {SNAP} order by av desc limit 1), g as (select * from bg where av <= {SNAP} order by av desc limit 1), k as (select series, arg_max(value, (d, av)) as value from msrc group by series),
 a as (select i, c * v as dv from bars where ticker = 'ASIA' and {TO_UTC.format("session_date::timestamp + interval 16 hours + interval 30 minutes")} <= {SNAP} order by i desc limit 1), n as (select * from mh order by d desc limit 1),
 w as (select * from news where ticker = 'ASIA' and pub <= {SNAP} and av <= {SNAP} and pub > {SNAP} - interval 7 days)
-select v.d::varchar as vix_day, round(v.vix, 6) as vix, round(v.c1, 6) as vix_change_1d, round(v.c5, 6) as vix_change_5d, round(v.z, 6) as vix_zscore, g.session_date::varchar as breadth_day, g.n as members, round(g.b20, 6) as breadth_sma20, round(g.b50, 6) as breadth_sma50, round(g.b200, 6) as breadth_sma200, g.adv as advances, g.dec as declines,
+select v.d::varchar as vix_day, round(v.vix, 6) as vix, round(v.c1, 6) as vix_change_1d, round(v.c5, 6) as vix_change_5d, round(v.z, 6) as vix_zscore, g.session_date::varchar as breadth_day, g.n as members, round(g.b20, 6) as breadth_sma20, round(g.b50, 6) as breadth_sma50, round(g.b200, 6) as breadth_sma200, case when g.n >= 3 then g.adv end as advances, case when g.n >= 3 then g.dec end as declines,
   a.i as asset_bar, round(a.dv, 6) as dollar_volume, (select value from k where series = 'fed_assets') as fed_assets, (select value from k where series = 'tga') as tga, (select value from k where series = 'rrp') as rrp, null::double as treasury_2s10s,
   n.d::varchar as net_day, round(n.net, 6) as net_liquidity, round(n.c4, 6) as net_liquidity_4w_change, {LIQ.replace("c4", "n.c4")} as liquidity_state,
   (select count(*) from w where pub > {SNAP} - interval 1 day) as news_1d, (select count(*) from w) as news_7d, (select count(score) from w) as news_scored_7d, (select round(avg(score), 6) from w) as news_sentiment_7d from v, g, a, n""",
