@@ -7,11 +7,13 @@ occurrence form a cell. Then:
 1. each block of documents sends one row per distinct cell (what repeats inside a block is settled there), so a string that a
    third of all documents share sends one row per block;
 2. rows meet by anchor hash (anchors that a scan of some documents finds frequent also by cell, which only routes rows): all
-   but the first of equal cells are repeats; anchors with several distinct cells ask for the bytes of the first of each. Cells
-   are equal when their anchors' hashes, their polynomial hashes and independent non-linear digests of their bytes all agree;
+   but the first of equal cells are repeats. Cells are equal when their anchors' hashes, their polynomial hashes and independent
+   non-linear digests of their bytes all agree. Of the distinct cells of an anchor, two can share a window only if they share
+   the anchor with half the rest of a window on its left or on its right; those that share neither (by hash) are done, and the
+   others ask for the bytes of the first of each. Chance anchors, which grow faster than the text, end here;
 3. those cells meet by anchor, and their windows are suffix-sorted: prefix polynomial hashes and binary search give common
    extensions, so a comparison in the mergesort takes logarithmic time; windows found equal are verified byte by byte.
-   Anchors with more than GROUP cells come window by window instead, so that no group grows with the input.
+   Anchors with more than GROUP such cells come window by window instead, so that no group grows with the input.
 """
 
 from __future__ import annotations
@@ -33,18 +35,20 @@ K = 16
 BLOCK_BYTES = 16 << 20
 #: Distinct cells of an anchor that are compared in one group.
 GROUP = 16384
+#: Distinct cells of an anchor of which a task holds places and sides; beyond, all are compared window by window.
+HELD = 1 << 20
 #: One document in SCAN is looked at for frequent anchors: those in more than FREQUENT of them.
 SCAN, FREQUENT = 64, 0.01
 _U = np.uint64
 
 
 def cells(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, start, windows, place of the anchor in the cell, anchor hash, cell hash, cell digest) of the cells of all rows."""
+    """(row, start, windows, place of the anchor in the cell, anchor hash, cell hash, cell digest, sides) of the cells of all rows."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     rows = np.flatnonzero(np.diff(offs) >= length)
     if not len(rows):
-        return none, none, none, none, *(none.astype(np.uint64) for _ in range(3))
+        return none, none, none, none, *(none.astype(np.uint64) for _ in range(4))
     prefix = C.prefix_hashes(buf)
     _, down = C.powers(n + 1)
     grams = (prefix[k:] - prefix[:-k]) * down[: n + 1 - k]
@@ -74,11 +78,40 @@ def cells(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.nd
     at = anchor[start]
     end = start + windows + length - 1
     whole = C.mix(C.span_hashes(prefix, start, end)) + windows.astype(np.uint64)
-    return row, start - offs[row], windows, at - start, C.mix(grams[at]), whole, C.span_digests(C.lanes(buf), buf, start, end)
+    digest = C.span_digests(C.lanes(buf), buf, start, end)
+    return row, start - offs[row], windows, at - start, C.mix(grams[at]), whole, digest, sides(prefix, start, end, at, length, k)
+
+
+def sides(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Hashes of 32 bits of each anchor with the bytes on its left (above) and on its right (below); 0: the cell ends before.
+
+    A window has length - k bytes beside its anchor, so at least half of them, rounded up, lie on one side of it: cells that
+    share a window agree in that side.
+    """
+    half = (length - k + 1) // 2
+
+    def hashed(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out, there = np.zeros(len(at), np.uint64), np.flatnonzero((lo >= start) & (hi <= end))
+        out[there] = np.maximum(C.mix(C.span_hashes(prefix, lo[there], hi[there])) >> _U(32), _U(1))
+        return out
+
+    return hashed(at - half, at + k) << _U(32) | hashed(at, at + k + half)
+
+
+def shares_side(group: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether another cell of the same group (numbers below 2**31) has the same left or right side."""
+    out = np.zeros(len(sides), bool)
+    for side in (sides.view(np.uint64) >> _U(32), sides.view(np.uint64) & _U(0xFFFFFFFF)):
+        key = group.astype(np.uint64) << _U(32) | side
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        twice = np.append(same, False) | np.append(False, same)
+        out[order] |= twice & (side[order] != 0)
+    return out
 
 
 #: `span` packs start, windows, place, whether the anchor is frequent and whether the cell repeats one of its block.
-CELL_SCHEMA = "anchor long, cell long, digest long, _d long, span long"
+CELL_SCHEMA = "anchor long, cell long, digest long, _d long, span long, sides long"
 SPAN_BITS = 12
 
 
@@ -99,19 +132,20 @@ def block_cells(docs: DataFrame, frequent: np.ndarray, length: int, k: int) -> D
         raise ValueError(f"windows of {length} bytes are too long for their packed places")
 
     def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, start, windows, place, anchor, cell, digest = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, start, windows, place, anchor, cell, digest, side = (np.concatenate(x) for x in zip(*held, strict=True))
         key = C.mix(anchor ^ (cell * _U(0x9E3779B97F4A7C15))) + digest
         order = np.lexsort((start, doc, key))
-        doc, start, windows, place, anchor, cell, digest, key = (x[order] for x in (doc, start, windows, place, anchor, cell, digest, key))
+        doc, start, windows, place, anchor, cell, digest, side, key = (x[order] for x in (doc, start, windows, place, anchor, cell, digest, side, key))
         repeat = np.zeros(len(key), bool)
         repeat[1:] = (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1]) & (cell[1:] == cell[:-1]) & (digest[1:] == digest[:-1])
         at = np.minimum(np.searchsorted(frequent, anchor), max(len(frequent) - 1, 0))
         hot = frequent[at] == anchor if len(frequent) else np.zeros(len(anchor), bool)
         span = pack_span(start, windows, place, hot, repeat)
+        side[repeat] = 0  # not asked for again
         for lo in range(0, len(key), 50_000):
             s = slice(lo, lo + 50_000)
             hashes = (pa.array(x[s].view(np.int64)) for x in (anchor, cell, digest))
-            yield pa.RecordBatch.from_arrays([*hashes, pa.array(doc[s]), pa.array(span[s])], ["anchor", "cell", "digest", "_d", "span"])
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(doc[s]), pa.array(span[s]), pa.array(side[s].view(np.int64))], ["anchor", "cell", "digest", "_d", "span", "sides"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -138,7 +172,7 @@ def frequent_anchors(docs: DataFrame, length: int, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, buf, offs in C.text_chunks(batch):
-                row, _, _, _, anchor, _, _ = cells(buf, offs, length, k)
+                row, _, _, _, anchor, *_ = cells(buf, offs, length, k)
                 pairs = np.unique(np.stack([row.astype(np.uint64), anchor], 1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64))], ["anchor"])
 
@@ -177,30 +211,43 @@ REPEAT, ASKED, ASKED_BY_WINDOW = 0, 1, 2
 
 
 def settle_cells(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Repeats among cells, and the first of each distinct cell where an anchor has several.
+    """Repeats among cells, and the first of each distinct cell that may share a window with another of its anchor.
 
-    Rows stream in the order (anchor, cell, digest, document, start). Of an open group only the firsts are held, up to GROUP of them;
-    beyond, they are asked for window by window and the group goes on as such.
+    Rows stream in the order (anchor, cell, digest, document, start). Of an open group only the firsts are held, up to HELD of them;
+    beyond, they are asked for window by window and the group goes on as such. The cells of frequent anchors lie in several
+    tasks, so all of them are asked for, by window.
     """
 
     def emit(d, start, windows, place, anchor, kind) -> pa.RecordBatch:
         kinds = np.full(len(d), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(start), pa.array(windows), pa.array(place), pa.array(anchor), pa.array(kinds)], ["_d", "start", "windows", "place", "anchor", "kind"])
 
+    def ask(group, is_hot, d, start, windows, place, anchor, side) -> Iterator[pa.RecordBatch]:
+        """Whole groups: what has to be asked for."""
+        take = is_hot | shares_side(group, side)
+        if take.any():
+            wide = np.bincount(group, take)[group] > GROUP
+            yield emit(*(x[take] for x in (d, start, windows, place, anchor)), np.where(is_hot | wide, ASKED_BY_WINDOW, ASKED)[take])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.view(np.int64)
         hot = np.sort(hot)
+
+        def ask_open(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            values = [np.concatenate(x) for x in zip(*held, strict=True)]
+            return ask(np.zeros(len(values[0]), np.int64), _in(values[4], hot), *values)
+
         last = None  # (anchor, cell, digest) of the open cell
         held: list[tuple[np.ndarray, ...]] = []  # firsts of the open group
         wide = False  # the open group is asked for window by window
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, cell, digest, d, span = (batch.column(c).to_numpy() for c in ("anchor", "cell", "digest", "_d", "span"))
+            anchor, cell, digest, d, span, side = (batch.column(c).to_numpy() for c in ("anchor", "cell", "digest", "_d", "span", "sides"))
             start, windows, place, repeat = unpack_span(span)
             if repeat.any():
                 yield emit(d[repeat], start[repeat], windows[repeat], place[repeat], anchor[repeat], REPEAT)
-                anchor, cell, digest, d, start, windows, place = (x[~repeat] for x in (anchor, cell, digest, d, start, windows, place))
+                anchor, cell, digest, d, start, windows, place, side = (x[~repeat] for x in (anchor, cell, digest, d, start, windows, place, side))
                 if not len(d):
                     continue
             new_anchor, new_cell = np.ones(len(d), bool), np.ones(len(d), bool)
@@ -216,45 +263,31 @@ def settle_cells(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             if not len(first):
                 continue
             last = (anchor[first[-1]], cell[first[-1]], digest[first[-1]])
-            values = [x[first] for x in (d, start, windows, place, anchor)]
+            values = [x[first] for x in (d, start, windows, place, anchor, side)]
             begins = new_anchor[first]
             if not begins[0]:  # the open group goes on
                 head = int(np.argmax(begins)) if begins.any() else len(begins)
                 part = tuple(x[:head] for x in values)
                 if wide:
-                    yield emit(*part, ASKED_BY_WINDOW)
+                    yield emit(*part[:5], ASKED_BY_WINDOW)
                 else:
                     held.append(part)
-                    if sum(len(x[0]) for x in held) > GROUP:
-                        yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)), ASKED_BY_WINDOW)
+                    if sum(len(x[0]) for x in held) > HELD:
+                        yield emit(*[np.concatenate(x) for x in zip(*held, strict=True)][:5], ASKED_BY_WINDOW)
                         held, wide = [], True
                 values, begins = [x[head:] for x in values], begins[head:]
                 if not len(begins):
                     continue
             if held:
-                group = [np.concatenate(x) for x in zip(*held, strict=True)]
-                if len(group[0]) > 1 or _in(group[4], hot).any():
-                    yield emit(*group, np.where(_in(group[4], hot), ASKED_BY_WINDOW, ASKED))
+                yield from ask_open(held)
             held, wide = [], False
             cut = np.flatnonzero(begins)[-1]  # the last group stays open
             held.append(tuple(x[cut:] for x in values))
-            if len(held[0][0]) > GROUP:
-                yield emit(*held[0], ASKED_BY_WINDOW)
-                held, wide = [], True
-            values, begins = [x[:cut] for x in values], begins[:cut]
             if cut:
-                group = np.cumsum(begins) - 1
-                counts = np.bincount(group)[group]
-                is_hot = _in(values[4], hot)
-                take = (counts > 1) | is_hot
-                if take.any():
-                    kind = np.where(is_hot | (counts > GROUP), ASKED_BY_WINDOW, ASKED)
-                    yield emit(*(x[take] for x in values), kind[take])
+                values = [x[:cut] for x in values]
+                yield from ask(np.cumsum(begins[:cut]) - 1, _in(values[4], hot), *values)
         if held:
-            group = [np.concatenate(x) for x in zip(*held, strict=True)]
-            is_hot = _in(group[4], hot)
-            if len(group[0]) > 1 or is_hot.any():
-                yield emit(*group, np.where(is_hot, ASKED_BY_WINDOW, ASKED))
+            yield from ask_open(held)
 
     n = C.shuffle_partitions(rows.sparkSession)
     span = F.col("span")

@@ -108,3 +108,51 @@ def test_very_long_text(spark):
     rows = [(1, base), (2, base[100_000:300_000] + "x" + base), (3, "z" * 300_000)]
     got = S.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == set(plain(rows, 100))
+
+
+@pytest.mark.parametrize(("seed", "group", "held", "batch"), [(5, 4096, 3, 7), (6, 2, 1 << 20, 7), (7, 4096, 1 << 20, 3)])
+def test_open_groups_equal_brute_force(spark, monkeypatch, seed, group, held, batch):
+    monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = corpus(seed)
+        got = S.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == set(plain(rows, 100))
+
+
+@pytest.mark.parametrize("length", [99, 100])
+def test_cells_that_share_a_window_share_a_side(length):
+    rng = random.Random(length)
+    words = lambda n: "".join(rng.choice(["ab", "ba", "c", "é"]) for _ in range(n)).encode()
+    passages = [words(rng.randint(60, 90)) for _ in range(20)]
+    texts = [words(rng.randint(0, 60)) + rng.choice(passages) + words(rng.randint(0, 60)) for _ in range(300)]
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    row, start, windows, place, anchor, cell, digest, side = S.cells(buf, offs, length, S.K)
+    group = np.unique(anchor, return_inverse=True)[1]
+    asked = S.shares_side(group, side)
+    holders = {}
+    for i, (r, s, n) in enumerate(zip(row.tolist(), start.tolist(), windows.tolist(), strict=True)):
+        for w in range(s, s + n):
+            holders.setdefault(texts[r][w : w + length], set()).add(i)
+    shared = {i for cells in holders.values() if len(cells) > 1 for i in cells}
+    assert shared and asked[list(shared)].all()
+
+
+def test_anchors_shared_by_chance_are_not_asked_for(spark):
+    rng = random.Random(0)
+    letters = lambda n: "".join(chr(rng.randint(97, 122)) for _ in range(n))
+
+    def anchors(texts):
+        offs = np.cumsum([0] + [len(t) for t in texts])
+        return np.unique(S.cells(np.frombuffer("".join(texts).encode(), np.uint8), offs, 100, S.K)[4], return_counts=True)[1]
+
+    grams = [letters(S.K) for _ in range(100)]
+    gram = max(grams, key=lambda g: anchors([letters(200) + g + letters(200) for _ in range(20)]).max())  # the likeliest anchor
+    texts = [letters(200) + gram + letters(200) for _ in range(400)]  # nothing else is shared
+    assert anchors(texts).max() > 200
+    none = np.zeros(0, np.uint64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "_d long, text string")
+    assert S.settle_cells(S.block_cells(docs, none, 100, S.K), none).count() == 0
