@@ -522,7 +522,7 @@ def run_engine(s, d, quant: bool = False) -> engine.PatternRun:
         b = walk_bars(s, d)
         week = resample.complete_bars(_weekly(s, d))
         week = week.withColumn("bar_index", F.row_number().over(joins.Window.partitionBy("ticker", "timeframe").orderBy("timestamp")) - 1)
-        _runs[key] = (now, engine.run_pattern_engine(b, "1Day", fixtures.benchmark(b), {"1Week": week}, models.quant_context(b) if quant else None, _external(s, d)))
+        _runs[key] = (now, engine.run_pattern_engine(fixtures.in_sql_order(b), "1Day", fixtures.benchmark(b), {"1Week": week}, models.quant_context(b) if quant else None, _external(s, d)))
     return _runs[key][1]
 
 
